@@ -13,7 +13,7 @@ from vitalforms.catalog import forms, labels
 def lookup(mapping: dict, key: Column, default: object = None) -> Column:
     """Value of a literal map, ``default`` when the key is unknown."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-    found = table.getItem(key)
+    found = table[key]
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

@@ -21,7 +21,7 @@ Getter = Callable[[str], Column]
 def map_getter(fields: str | Column) -> Getter:
     """Look a key up in a map column (NULL when absent)."""
     col = F.col(fields) if isinstance(fields, str) else fields
-    return lambda key: col.getItem(key)
+    return lambda key: col[key]
 
 
 def strip(c: Column) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitalforms.catalog import fields as cat
-from vitalforms.functions.names import record_name, screen_date, screen_name, screen_place
-from vitalforms.functions.text import Getter, filled, first_filled, map_getter, or_chain
+from vitalforms.functions import fragments as sql
 
 # The lines of each rendered form.  A field stands in braces,
 # alternatives are separated by "|"; the first filled one is printed.
@@ -99,194 +98,176 @@ def template_parts(template: str) -> list[tuple[str, tuple[str, ...]]]:
     return parts
 
 
-def render(template: str, get: Getter) -> Column:
-    """Fill a template from a field getter."""
-    return F.concat(*[F.lit(text) if text else first_filled(*[get(k) for k in keys])
-                      for text, keys in template_parts(template)])
+def render(template: str, get: sql.Get) -> str:
+    """Expression that fills a template from a field getter.
 
+    The literal before each field and the field's alternatives form two
+    parallel arrays that are zipped and joined.
+    """
+    literals, values = [""], []
+    for literal, keys in template_parts(template):
+        if literal:
+            literals[-1] += literal
+        else:
+            values.append(f"array({', '.join(get(k) for k in keys)})")
+            literals.append("")
+    values.append("array('')")
+    chosen = f"coalesce(get(filter(transform(v, x -> {sql.strip('x')}), x -> x <> ''), 0), '')"
+    return (f"array_join(zip_with({sql.text_array(tuple(literals))}, array({', '.join(values)}), "
+            f"(t, v) -> t || {chosen}), '')")
 
-def form_text(fields: Column, kind: str) -> Column:
-    return render(FORM_TEXT[kind], map_getter(fields))
 
+def form_text(fields: str, kind: str) -> Column:
+    """Text of one form kind rendered from a field map column."""
+    return F.expr(render(FORM_TEXT[kind], sql.key_of(fields)))
 
-def detect_form_type(fields: Column) -> Column:
-    """Form told by the keys of a field dictionary: birth, death, marriage."""
-    keys = F.map_keys(fields)
 
-    def any_of(names: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
+def detect_form_type(fields: str) -> Column:
+    """Form told by the keys of a field dictionary: birth, death, marriage."""
+    def any_of(names: tuple[str, ...]) -> str:
+        return f"arrays_overlap(map_keys({fields}), {sql.text_array(names)})"
 
-    return (
-        F.when(any_of(cat.BIRTH_KEYS), "birth")
-        .when(any_of(cat.DEATH_KEYS), "death")
-        .when(any_of(cat.MARRIAGE_KEYS), "marriage")
-        .otherwise("birth")
-    )
+    return F.expr(
+        f"CASE WHEN {any_of(cat.BIRTH_KEYS)} THEN 'birth' WHEN {any_of(cat.DEATH_KEYS)} THEN 'death' "
+        f"WHEN {any_of(cat.MARRIAGE_KEYS)} THEN 'marriage' ELSE 'birth' END")
 
 
-def text_of_type(fields: Column, form_type: Column) -> Column:
+def text_of_type(fields: str, form_type: str) -> Column:
     """Rendered text of a field dictionary; unknown types render as birth."""
-    return (
-        F.when(form_type == "death", form_text(fields, "death"))
-        .when(form_type == "marriage", form_text(fields, "marriage"))
-        .otherwise(form_text(fields, "birth"))
-    )
+    get = sql.key_of(fields)
+    return F.expr(sql.case(form_type, {k: render(FORM_TEXT[k], get) for k in ("death", "marriage")},
+                           render(FORM_TEXT["birth"], get)))
 
 
 # --- raw result -> stored fields -----------------------------------------
 
-def stored_columns(raw: Column, hint: str) -> dict[str, Column]:
-    """Stored fields of one form from raw keys, by alias."""
-    get = map_getter(raw)
-    out = {}
-    for target, sources in cat.STORED[hint].items():
-        *tries, last = [get(s) for s in sources]
-        # the last alternative may be an empty string: only NULL is replaced
-        out[target] = F.coalesce(*[filled(t) for t in tries], last, F.lit(""))
-    return out
+def stored_expressions(raw: str, hint: str) -> dict[str, str]:
+    """Stored field -> expression over raw keys, by alias."""
+    get = sql.key_of(raw)
+    return {target: sql.or_chain(*[get(s) for s in sources])
+            for target, sources in cat.STORED[hint].items()}
+
 
+def stored_fields(raw: str, hint: str, passthrough: bool = True) -> str:
+    """Expression of the stored field map of a raw result.
 
-def stored_fields(raw: Column, hint: str, passthrough: bool = True) -> Column:
-    """Stored field map of a raw result; unmapped filled keys are carried along."""
-    mapped = stored_columns(raw, hint)
-    pairs: list[Column] = []
-    for key, value in mapped.items():
-        pairs += [F.lit(key), value]
-    base = F.create_map(*pairs)
+    Unmapped raw keys that hold a value are carried along.
+    """
+    mapped = stored_expressions(raw, hint)
     if not passthrough:
-        return base
-    known = F.array(*[F.lit(k) for k in mapped])
-    extra = F.map_filter(raw, lambda k, v: ~F.array_contains(known, k) & (F.coalesce(v, F.lit("")) != ""))
-    return F.map_concat(base, extra)
+        return sql.as_map(mapped)
+    known = sql.text_array(tuple(mapped))
+    extra = f"map_filter({raw}, (k, v) -> NOT array_contains({known}, k) AND coalesce(v, '') <> '')"
+    return f"map_concat({sql.as_map(mapped)}, {extra})"
 
 
-def mapped_confidence(raw: Column) -> Column:
-    return F.transform_values(raw, lambda _, __: F.lit(cat.MAPPED_CONFIDENCE))
+def mapped_confidence(raw: str) -> Column:
+    """The same fixed confidence for every raw key."""
+    return F.expr(f"transform_values({raw}, (k, v) -> {cat.MAPPED_CONFIDENCE}D)")
 
 
-def licence_page(raw: Column, spouse: Column, role: str, parse: bool = False) -> Column:
-    """Stored fields of one licence page; blank ones are left out.
+def licence_page(raw: str, spouse: str, role: str, parse: bool = False) -> str:
+    """Expression of the stored fields of one licence page; blank ones go.
 
-    ``spouse`` is the nested person record of the role.  The marriage date is
+    ``spouse`` is the nested person map of the role.  The marriage date is
     split at commas, so ``June 5, 2001`` puts ``June 5`` into the day; with
     ``parse`` a recognised date gives its real parts instead.
     """
-    from vitalforms.functions.names import parse_date
-    from vitalforms.functions.text import comma_part, strip
-
-    get, person = map_getter(raw), map_getter(spouse)
+    get, person = sql.key_of(raw), sql.key_of(spouse)
+    when, where = get("date_of_marriage"), get("place_of_marriage")
+    parts = {p: sql.comma_part(when, i) for i, p in enumerate(("day", "month", "year"))}
+    if parse:
+        tidy = f"regexp_replace({sql.strip(when)}, '[ ]+', ' ')"
+        date = f"coalesce(try_to_timestamp({tidy}, 'MMMM d, yyyy'), try_to_timestamp({tidy}, 'M/d/yyyy'))"
+        parts = {p: f"coalesce(date_format({date}, {sql.text(f)}), {parts[p]})"
+                 for p, f in (("day", "d"), ("month", "MMMM"), ("year", "yyyy"))}
 
-    def val(c: Column) -> Column:
-        return strip(c)
+    def value(*xs: str) -> str:
+        return sql.strip(sql.or_chain(*xs))
 
-    when = get("date_of_marriage")
-    parts = {"day": comma_part(when, 0), "month": comma_part(when, 1), "year": comma_part(when, 2)}
-    if parse:
-        d = parse_date(when)
-        parts = {"day": F.coalesce(F.date_format(d, "d"), parts["day"]),
-                 "month": F.coalesce(F.date_format(d, "MMMM"), parts["month"]),
-                 "year": F.coalesce(F.date_format(d, "yyyy"), parts["year"])}
-    where = get("place_of_marriage")
-    out: dict[str, Column] = {
-        "registry_no": val(or_chain(get("registry_number"))),
-        "city_municipality": comma_part(where, 1),
-        "date_issuance": val(or_chain(get("date_of_registration"))),
-        "license_no": val(or_chain(get("license_no"), get("license_number"))),
+    out = {
+        "registry_no": value(get("registry_number")),
+        "city_municipality": sql.comma_part(where, 1),
+        "date_issuance": value(get("date_of_registration")),
+        "license_no": value(get("license_no"), get("license_number")),
         "marriage_day": parts["day"], "marriage_month": parts["month"], "marriage_year": parts["year"],
-        "marriage_venue": comma_part(where, 0),
-        "marriage_city": comma_part(where, 1),
-        "marriage_province": val(or_chain(get("province"))),
+        "marriage_venue": sql.comma_part(where, 0),
+        "marriage_city": sql.comma_part(where, 1),
+        "marriage_province": value(get("province")),
     }
     for field, keys in cat.LICENCE_PERSON.items():
-        tries = [person(k) for k in keys]
-        if field in cat.LICENCE_TOP_LEVEL:
-            tries.append(get(f"{role}_{field}"))
-        out[f"{role}_{field}"] = val(or_chain(*tries))
-    pairs: list[Column] = []
-    for key, value in out.items():
-        pairs += [F.lit(key), value]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v != "")
+        top = [get(f"{role}_{field}")] if field in cat.LICENCE_TOP_LEVEL else []
+        out[f"{role}_{field}"] = value(*[person(k) for k in keys], *top)
+    return f"map_filter({sql.as_map(out)}, (k, v) -> v <> '')"
 
 
-def merge_last_wins(first: Column, second: Column) -> Column:
-    """Union of two maps; the second one wins on shared keys."""
-    rest = F.map_filter(first, lambda k, _: ~F.coalesce(F.map_contains_key(second, k), F.lit(False)))
-    empty = F.create_map().cast("map<string,string>")
-    return F.map_concat(F.coalesce(rest, empty), F.coalesce(second, empty))
+def merge_last_wins(first: str, second: str) -> str:
+    """Expression of the union of two maps; the second wins on shared keys."""
+    empty = "cast(map() as map<string, string>)"
+    rest = f"map_filter({first}, (k, v) -> NOT coalesce(map_contains_key({second}, k), false))"
+    return f"map_concat(coalesce({rest}, {empty}), coalesce({second}, {empty}))"
 
 
-def licence_pages(groom: Column, bride: Column) -> Column:
+def licence_pages(groom: str, bride: str) -> str:
     """Both pages in one map: the groom page wins, expected keys always exist."""
-    merged = merge_last_wins(bride, groom)
-    defaults: list[Column] = []
-    for key in cat.LICENCE_DEFAULTS:
-        defaults += [F.lit(key), F.lit("")]
-    return merge_last_wins(F.create_map(*defaults), merged)
+    defaults = sql.as_map({k: "''" for k in cat.LICENCE_DEFAULTS})
+    return merge_last_wins(defaults, merge_last_wins(bride, groom))
 
 
 # --- screen fields ---------------------------------------------------------
 
-def screen_fields(fields: Column, hint: str) -> dict[str, Column]:
-    """Values of an editable form; parents, hospital and role fall back."""
-    r = map_getter(fields)
+def screen_fields(fields: str, hint: str) -> dict[str, str]:
+    """Expressions of an editable form; parents, hospital and role fall back."""
+    r, either_of = sql.key_of(fields), sql.or_chain
     p = {"1A": "f1a", "2A": "f2a"}.get(hint, "f3a")
-    out = {
-        f"{p}_city": or_chain(r("city_municipality")),
-        f"{p}_date": or_chain(r("date_issuance")),
-        f"{p}_registry": or_chain(r("registry_no")),
-        f"{p}_date_reg": or_chain(r("date_submitted"), r("date_received")),
-        f"{p}_issued_to": or_chain(r("issued_to")),
-        f"{p}_verified_by": or_chain(r("processed_by")),
-        f"{p}_verified_pos": or_chain(r("verified_position")),
-        f"{p}_amount": or_chain(r("amount_paid")),
-        f"{p}_or_number": or_chain(r("or_number")),
-        f"{p}_date_paid": or_chain(r("date_paid")),
-    }
+    shared = {"city": "city_municipality", "date": "date_issuance", "registry": "registry_no",
+              "issued_to": "issued_to", "verified_by": "processed_by", "verified_pos": "verified_position",
+              "amount": "amount_paid", "or_number": "or_number", "date_paid": "date_paid"}
+    out = {f"{p}_{k}": either_of(r(v)) for k, v in shared.items()}
+    out[f"{p}_date_reg"] = either_of(r("date_submitted"), r("date_received"))
 
-    def full(q: str) -> Column:
-        return screen_name(r(f"{q}_first"), r(f"{q}_middle"), r(f"{q}_last"))
+    def full(q: str) -> str:
+        return sql.screen_name(r(f"{q}_first"), r(f"{q}_middle"), r(f"{q}_last"))
 
-    def date(q: str) -> Column:
-        return screen_date(r(f"{q}_month"), r(f"{q}_day"), r(f"{q}_year"))
+    def date(q: str) -> str:
+        return sql.screen_date(r(f"{q}_month"), r(f"{q}_day"), r(f"{q}_year"))
 
     if hint == "1A":
         out |= {
-            f"{p}_child_name": full("child"), f"{p}_sex": or_chain(r("sex")), f"{p}_dob": date("dob"),
-            f"{p}_pob": screen_place(r("pob_city"), r("pob_province")),
-            f"{p}_mother_name": full("mother"), f"{p}_mother_nat": or_chain(r("mother_citizenship")),
-            f"{p}_father_name": full("father"), f"{p}_father_nat": or_chain(r("father_citizenship")),
+            f"{p}_child_name": full("child"), f"{p}_sex": either_of(r("sex")), f"{p}_dob": date("dob"),
+            f"{p}_pob": sql.screen_place(r("pob_city"), r("pob_province")),
+            f"{p}_mother_name": full("mother"), f"{p}_mother_nat": either_of(r("mother_citizenship")),
+            f"{p}_father_name": full("father"), f"{p}_father_nat": either_of(r("father_citizenship")),
             f"{p}_marriage_date": date("parents_marriage"),
-            f"{p}_marriage_place": screen_place(r("parents_marriage_city"), r("parents_marriage_province")),
+            f"{p}_marriage_place": sql.screen_place(r("parents_marriage_city"), r("parents_marriage_province")),
         }
     elif hint == "2A":
         out |= {
-            f"{p}_deceased_name": full("deceased"), f"{p}_sex": or_chain(r("sex")),
-            f"{p}_age": or_chain(r("age_years")), f"{p}_civil_status": or_chain(r("civil_status")),
-            f"{p}_nationality": or_chain(r("citizenship")), f"{p}_dod": date("dod"),
-            f"{p}_pod": screen_place(or_chain(r("pod_hospital"), r("pod_city")), r("pod_province")),
-            f"{p}_cause": or_chain(r("cause_immediate")),
+            f"{p}_deceased_name": full("deceased"), f"{p}_sex": either_of(r("sex")),
+            f"{p}_age": either_of(r("age_years")), f"{p}_civil_status": either_of(r("civil_status")),
+            f"{p}_nationality": either_of(r("citizenship")), f"{p}_dod": date("dod"),
+            f"{p}_pod": sql.screen_place(either_of(r("pod_hospital"), r("pod_city")), r("pod_province")),
+            f"{p}_cause": either_of(r("cause_immediate")),
         }
     else:
         out[f"{p}_dom"] = date("marriage")
-        out[f"{p}_pom"] = screen_place(or_chain(r("marriage_venue"), r("marriage_city")), r("marriage_province"))
+        out[f"{p}_pom"] = sql.screen_place(
+            either_of(r("marriage_venue"), r("marriage_city")), r("marriage_province"))
         for shown, page in (("husband", "groom"), ("wife", "bride")):
-            def either(f: str, a: str = shown, b: str = page) -> Column:
-                return or_chain(r(f"{a}_{f}"), r(f"{b}_{f}"))
+            def role(f: str, a: str = shown, b: str = page) -> str:
+                return either_of(r(f"{a}_{f}"), r(f"{b}_{f}"))
 
-            out[f"{p}_{shown}_name"] = screen_name(either("first"), either("middle"), either("last"))
-            out[f"{p}_{shown}_age"] = either("age")
-            out[f"{p}_{shown}_nat"] = either("citizenship")
+            out[f"{p}_{shown}_name"] = sql.screen_name(role("first"), role("middle"), role("last"))
+            out[f"{p}_{shown}_age"] = role("age")
+            out[f"{p}_{shown}_nat"] = role("citizenship")
             for parent in ("mother", "father"):
-                out[f"{p}_{shown}_{parent}"] = screen_name(either(f"{parent}_first"), either(f"{parent}_last"))
-                out[f"{p}_{shown}_{parent}_nat"] = either(f"{parent}_citizenship")
+                out[f"{p}_{shown}_{parent}"] = sql.screen_name(role(f"{parent}_first"), role(f"{parent}_last"))
+                out[f"{p}_{shown}_{parent}_nat"] = role(f"{parent}_citizenship")
     return out
 
 
 def canonical_edit_key(key: Column) -> Column:
     """Stored name of an edited element key, NULL when it is not a field."""
-    from vitalforms.functions.codes import lookup
-
-    suffix = F.regexp_extract(key, r"^f[123]a_(.+)$", 1)
     flat = {k: v[0] for k, v in cat.EDITED_KEYS.items()}
     for role in ("husband", "wife"):
         flat |= {f"{role}_name": f"{role}_name", f"{role}_age": f"{role}_age",
@@ -294,8 +275,9 @@ def canonical_edit_key(key: Column) -> Column:
         for parent in ("mother", "father"):
             flat |= {f"{role}_{parent}": f"{role}_{parent}_name",
                      f"{role}_{parent}_nat": f"{role}_{parent}_citizenship"}
-    stored = F.array(*[F.lit(f) for f in cat.DATA_FIELDS])
-    return F.coalesce(lookup(flat, filled(suffix)), F.when(F.array_contains(stored, key), key))
+    suffix = F.regexp_extract(key, r"^f[123]a_(.+)$", 1)
+    known = F.array_contains(F.expr(sql.text_array(cat.DATA_FIELDS)), key)
+    return F.coalesce(F.expr(sql.as_map({k: sql.text(v) for k, v in flat.items()}))[suffix], F.when(known, key))
 
 
 # --- reports ---------------------------------------------------------------
@@ -329,41 +311,39 @@ REPORT_TITLES = {"1A": ("Birth available", "birth", "Births"),
 BLANK = "_______________"
 
 
-def report_lines(pairs: Column) -> Column:
-    """``label: value`` lines of an array of (label, value); blanks underlined."""
-    return F.array_join(F.transform(pairs, lambda p: F.concat(
-        p["label"], F.lit(": "), or_chain(p["value"], default=BLANK))), "\n")
+def report_lines(pairs: list[tuple[str, str]]) -> str:
+    """Expression of the ``label: value`` lines; blank values are underlined."""
+    rows = "array(" + ", ".join(f"{sql.text(label + ': ')} || {sql.or_chain(value, default=BLANK)}"
+                                for label, value in pairs) + ")"
+    return f"array_join({rows}, {sql.text(chr(10))})"
 
 
-def certificate(fields: Column, hint: str) -> Column:
-    """Printable certificate text of a stored field map."""
+def certificate(fields: str, hint: str) -> str:
+    """Expression of the printable certificate of a stored field map."""
     shown = screen_fields(fields, hint)
     prefix = {"1A": "f1a", "2A": "f2a"}.get(hint, "f3a")
-    pairs = F.array(*[F.struct(F.lit(label).alias("label"), shown[f"{prefix}_{s}"].alias("value"))
-                      for label, s in REPORT_LINES[hint]])
+    body = report_lines([(label, shown[f"{prefix}_{s}"]) for label, s in REPORT_LINES[hint]])
     note, fact, register = REPORT_TITLES[hint]
     head = (f"LCR Form No. {hint} ({note})\nTO WHOM IT MAY CONCERN:\n"
             f"We certify that, among others, the following facts of {fact} appear in our "
             f"Registry of {register} of this office:\n")
-    tail = F.concat(F.lit("\nThis certification is issued to "),
-                    or_chain(shown[f"{prefix}_issued_to"], default=BLANK),
-                    F.lit(" upon his/her request."))
-    return F.concat(F.lit(head), report_lines(pairs), tail)
+    issued = sql.or_chain(shown[f"{prefix}_issued_to"], default=BLANK)
+    return (f"{sql.text(head)} || {body} || {sql.text(chr(10) + 'This certification is issued to ')} "
+            f"|| {issued} || ' upon his/her request.'")
 
 
-def preview_title(fields: Column, hint: str) -> Column:
-    """Heading of the preview: form number and the person or couple."""
-    r = map_getter(fields)
+def preview_title(fields: str, hint: str) -> str:
+    """Expression of the preview heading: form number and the person or couple."""
+    r = sql.key_of(fields)
 
-    def name(*parts: str) -> Column:
-        return record_name(*[r(p) for p in parts])
+    def name(*parts: str) -> str:
+        return sql.record_name(*[r(p) for p in parts])
 
     who = {
-        "1A": lambda: name("child_first", "child_middle", "child_last"),
-        "2A": lambda: name("deceased_first", "deceased_middle", "deceased_last"),
-        "3A": lambda: F.concat(name("husband_first", "husband_last"), F.lit(" & "),
-                               name("wife_first", "wife_last")),
-        "90": lambda: F.concat(name("groom_first", "groom_middle", "groom_last"), F.lit(" & "),
-                               name("bride_first", "bride_middle", "bride_last")),
-    }[hint]()
-    return F.concat(F.lit(f"Form {hint} — "), who)
+        "1A": [name("child_first", "child_middle", "child_last")],
+        "2A": [name("deceased_first", "deceased_middle", "deceased_last")],
+        "3A": [name("husband_first", "husband_last"), name("wife_first", "wife_last")],
+        "90": [name("groom_first", "groom_middle", "groom_last"),
+               name("bride_first", "bride_middle", "bride_last")],
+    }[hint]
+    return f"{sql.text(f'Form {hint} — ')} || " + " || ' & ' || ".join(who)

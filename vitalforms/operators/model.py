@@ -82,7 +82,7 @@ class TextModel:
         joined = df.select(key).join(scored, key, "left").crossJoin(F.broadcast(prior))
         logs = F.transform("_priors", lambda p: F.struct(
             p["label"].alias("label"),
-            (p["log_prior"] + F.coalesce(F.col("_scores").getItem(p["label"]), F.lit(0.0))).alias("l")))
+            (p["log_prior"] + F.coalesce(F.col("_scores")[p["label"]], F.lit(0.0))).alias("l")))
         step = joined.withColumn("_l", logs)
         step = step.withColumn("_top", F.array_max(F.transform("_l", lambda e: e["l"])))
         step = step.withColumn("_z", F.aggregate(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vitalforms.catalog import fields as cat
 from vitalforms.functions import codes
-from vitalforms.functions.names import record_date, record_name, record_place
-from vitalforms.functions.text import Getter, blank_if_separators, db_trim, filled, map_getter, null_chain
+from vitalforms.functions import fragments as sql
+from vitalforms.functions.text import db_trim, map_getter, null_chain
 
 
 def latest_values(data: DataFrame, keys: tuple[str, ...] = ("doc_id", "field_name")) -> DataFrame:
@@ -58,18 +58,19 @@ def listed_documents(documents: DataFrame, types: DataFrame, users: DataFrame) -
             .join(users.select("user_id", F.col("username").alias("uploader_name")), "user_id"))
 
 
-def _composed(kind: str, r: Getter) -> dict[str, Column]:
-    def name(p: str) -> Column:
-        return record_name(r(f"{p}_first"), r(f"{p}_middle"), r(f"{p}_last"))
+def _composed(kind: str, r: sql.Get) -> dict[str, str]:
+    """Screen field -> expression, for one kind of record."""
+    def name(p: str) -> str:
+        return sql.record_name(r(f"{p}_first"), r(f"{p}_middle"), r(f"{p}_last"))
 
-    def short_name(p: str) -> Column:
-        return record_name(r(f"{p}_first"), r(f"{p}_last"))
+    def short_name(p: str) -> str:
+        return sql.record_name(r(f"{p}_first"), r(f"{p}_last"))
 
-    def date(p: str) -> Column:
-        return record_date(r(f"{p}_month"), r(f"{p}_day"), r(f"{p}_year"))
+    def date(p: str) -> str:
+        return sql.record_date(r(f"{p}_month"), r(f"{p}_day"), r(f"{p}_year"))
 
-    def place(a: str, b: str) -> Column:
-        return record_place(r(a), r(b))
+    def place(a: str, b: str) -> str:
+        return sql.record_place(r(a), r(b))
 
     if kind == "birth":
         return {
@@ -87,20 +88,20 @@ def _composed(kind: str, r: Getter) -> dict[str, Column]:
             "date_of_death": date("dod"), "place_of_death": place("pod_hospital", "pod_city"),
             "cause_of_death": r("cause_immediate"),
         }
-    roles = (("husband", "husband"), ("wife", "wife")) if kind == "marriage-cert" else (
-        ("husband", "groom"), ("wife", "bride"))
-    out: dict[str, Column] = {}
-    for shown, stored in roles:
+    certificate = kind == "marriage-cert"
+    out: dict[str, str] = {}
+    for shown, stored in (("husband", "husband" if certificate else "groom"),
+                          ("wife", "wife" if certificate else "bride")):
         out[f"{shown}_name"] = name(stored)
         out[f"{shown}_age"] = r(f"{stored}_age")
         out[f"{shown}_nationality"] = r(f"{stored}_citizenship")
         for parent in ("mother", "father"):
             out[f"{shown}_{parent}_name"] = short_name(f"{stored}_{parent}")
-            if kind == "marriage-cert":
+            if certificate:
                 out[f"{shown}_{parent}_nationality"] = r(f"{stored}_{parent}_citizenship")
     out["date_of_marriage"] = date("marriage")
     out["place_of_marriage"] = place("marriage_venue", "marriage_city")
-    if kind == "marriage-license":
+    if not certificate:
         out["license_no"] = r("license_no")
     return out
 
@@ -108,41 +109,32 @@ def _composed(kind: str, r: Getter) -> dict[str, Column]:
 KINDS = ("birth", "death", "marriage-cert", "marriage-license")
 
 
-def form_data(kind: Column, fields: Column) -> Column:
+def form_data(kind: str, fields: str) -> Column:
     """Screen fields of a record as a map, by record kind."""
-    r = map_getter(fields)
-    shared = {k: null_chain(*[r(s) for s in src]) for k, src in cat.SHARED_SCREEN.items()}
+    r = sql.key_of(fields)
+    shared = {k: sql.null_chain(*[r(s) for s in src]) for k, src in cat.SHARED_SCREEN.items()}
 
-    def as_map(cols: dict[str, Column]) -> Column:
-        pairs: list[Column] = []
-        for key, value in cols.items():
-            pairs += [F.lit(key), blank_if_separators(null_chain(value))]
-        return F.create_map(*pairs)
+    def whole(values: dict[str, str]) -> str:
+        return sql.as_map(shared | {k: sql.null_chain(v) for k, v in values.items()})
 
-    expr = F
-    for k in KINDS:
-        expr = expr.when(kind == k, as_map({**shared, **_composed(k, r)}))
-    return expr.otherwise(as_map(shared))
+    composed = sql.case(kind, {k: whole(_composed(k, r)) for k in KINDS}, whole({}))
+    # separator-only values such as " , " are blanked in one pass over the map
+    return F.expr(f"transform_values({composed}, (k, v) -> CASE WHEN btrim(v, ' ,') = '' THEN '' ELSE v END)")
 
 
-def display_name(kind: Column, fields: Column, fallback: Column) -> Column:
+def display_name(kind: str, fields: str, fallback: str) -> Column:
     """Name shown in the list: the person, the couple, or the uploader."""
-    r = map_getter(fields)
+    r = sql.key_of(fields)
 
-    def who(p: str) -> Column:
-        # a bare '0' counts as no name, as in the original's truthiness test
-        return F.nullif(filled(record_name(r(f"{p}_first"), r(f"{p}_last"))), F.lit("0"))
+    def shown(*people: str) -> str:
+        # a bare '0' counts as no name
+        names = [sql.record_name(r(f"{p}_first"), r(f"{p}_last")) for p in people]
+        return sql.or_chain(sql.join_filled(" & ", *names, unlike="0"), fallback)
 
-    def couple(a: str, b: str) -> Column:
-        return F.coalesce(F.concat(who(a), F.lit(" & "), who(b)), who(a), who(b), fallback)
-
-    return (
-        F.when(kind == "birth", F.coalesce(who("child"), fallback))
-        .when(kind == "death", F.coalesce(who("deceased"), fallback))
-        .when(kind == "marriage-cert", couple("husband", "wife"))
-        .when(kind == "marriage-license", couple("groom", "bride"))
-        .otherwise(fallback)
-    )
+    return F.expr(sql.case(kind, {
+        "birth": shown("child"), "death": shown("deceased"),
+        "marriage-cert": shown("husband", "wife"), "marriage-license": shown("groom", "bride"),
+    }, fallback))
 
 
 def records(documents: DataFrame, types: DataFrame, users: DataFrame,
@@ -157,10 +149,10 @@ def records(documents: DataFrame, types: DataFrame, users: DataFrame,
     return joined.select(
         F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("id"),
         "doc_id", "type",
-        display_name(F.col("type"), F.col("fields"), F.col("uploader_name")).alias("name"),
+        display_name("type", "fields", "uploader_name").alias("name"),
         F.date_format("upload_date", "yyyy-MM-dd").alias("date"),
         "status", "upload_date",
-        form_data(F.col("type"), F.col("fields")).alias("form_data"),
+        form_data("type", "fields").alias("form_data"),
     )
 
 
