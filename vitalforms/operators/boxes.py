@@ -39,4 +39,5 @@ def word_regions(word_boxes: DataFrame, pages: DataFrame, regions: DataFrame) ->
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     hits = F.filter("boxes", lambda b: cx.between(b["x1"], b["x2"]) & cy.between(b["y1"], b["y2"]))
     return word_boxes.join(per_page, "page_id").select(
-        "page_id", "word_no", "text", F.explode(F.transform(hits, lambda b: b["field"])).alias("field"))
+        "page_id", "word_no", "text", F.explode_outer(F.transform(hits, lambda b: b["field"])).alias("field")
+    ).filter("field IS NOT NULL")

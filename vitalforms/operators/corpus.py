@@ -267,7 +267,7 @@ def generate_field_values(seeds: DataFrame, form: str) -> DataFrame:
         generated_value(kind, field, key, F.col("first_name"), F.col("last_name"),
                         F.col("city"), F.col("province")).alias("text"))
         for field, kind in GENERATED_FIELDS[form]])
-    return (seeds.select("seed_id", F.lit(form).alias("form"), F.inline(pairs))
+    return (seeds.select("seed_id", F.lit(form).alias("form"), F.inline_outer(pairs))
             .filter(strip(F.coalesce("text", F.lit(""))) != ""))
 
 
@@ -326,7 +326,7 @@ def generate_labelled_texts(seeds: DataFrame) -> DataFrame:
         for i, option in enumerate(options[:-1]):
             expr = expr.when(which == i, written(option))
         rows.append(F.struct(F.lit(label).alias("label"), expr.otherwise(written(options[-1])).alias("text")))
-    return seeds.select("seed_id", F.inline(F.array(*rows)))
+    return seeds.select("seed_id", F.inline_outer(F.array(*rows)))
 
 
 def annotated_examples(rendered: DataFrame, key: str, text: str, values: Mapping[str, Column]) -> DataFrame:

@@ -94,7 +94,7 @@ def char_confusion(pairs: DataFrame, alphabet: Column | None = None) -> DataFram
 
     both = F.arrays_zip(chars("truth").alias("t"), chars("pred").alias("p"))
     blank = F.lit(" ")
-    each = pairs.select(F.explode(both).alias("c")).select(
+    each = pairs.select(F.explode_outer(both).alias("c")).filter("c IS NOT NULL").select(
         F.coalesce("c.t", blank).alias("truth_char"), F.coalesce("c.p", blank).alias("pred_char"))
 
     def inside(c: str) -> Column:

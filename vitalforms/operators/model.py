@@ -32,7 +32,9 @@ def terms(text: Column) -> Column:
 def term_counts(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, term, tf).  A document's terms sit in one task, so the map side
     already combines them."""
-    long = df.select(key, *extra, F.explode(terms(F.col(text))).alias("term"))
+    # outer: a plain explode would tokenise every text twice, once to test
+    # that it has terms
+    long = df.select(key, *extra, F.explode_outer(terms(F.col(text))).alias("term")).filter("term IS NOT NULL")
     return long.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

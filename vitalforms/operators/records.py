@@ -42,7 +42,7 @@ def unpivot_fields(records: DataFrame, key: str, columns: list[str],
                       for c in columns])
     return (records
             .select(key, (confidence if confidence is not None else F.lit(0.0)).alias("ner_confidence_score"),
-                    F.inline(pairs))
+                    F.inline_outer(pairs))
             .filter(db_trim(F.col("extracted_value")) != ""))
 
 

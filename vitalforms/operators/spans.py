@@ -110,7 +110,7 @@ def span_corpus(df: DataFrame, text: str = "text", spans: str = "spans") -> Data
 
 def span_rows(df: DataFrame, keys: Sequence[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """One row per span with its text."""
-    long = df.select(*keys, text, F.explode(spans).alias("_s"))
+    long = df.select(*keys, text, F.explode_outer(spans).alias("_s")).filter("_s IS NOT NULL")
     return long.select(*keys, F.col("_s.start").alias("start"), F.col("_s.end").alias("end"),
                        F.col("_s.label").alias("label"), sp.covered(F.col(text), F.col("_s")).alias("span_text"))
 
