@@ -129,8 +129,15 @@ ORDER_TYPE = f"CASE {_K} % 3 WHEN 0 THEN 'birth' WHEN 1 THEN 'death' ELSE 'marri
 ORDER_HINT = f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE {ORDER_TYPE} END"
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+def read(spark: SparkSession, folder: str, table: str, spread: bool = False) -> DataFrame:
+    """One table; ``spread`` deals a scan with fewer tasks than cores out to all
+    cores, which pays for per-row heavy work on a small file.  A table of many
+    files is left as it is."""
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +163,8 @@ def document_data(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_columns(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """doc_id and every raw field as a column."""
-    o, c, n = (read(spark, folder, t) for t in ("orders", "customer", "nation"))
+    o = read(spark, folder, "orders", spread=True)
+    c, n = (read(spark, folder, t) for t in ("customer", "nation"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.selectExpr("o_orderkey AS doc_id", *extra, *[f"{e} AS {k}" for k, e in RAW_FIELDS.items()])
