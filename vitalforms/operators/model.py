@@ -1,7 +1,7 @@
 """Multinomial naive Bayes over TF-IDF features, as plain aggregations.
 
 Term counts, document frequencies and class sums are grouped with map-side
-combining; the fitted model is two small tables: at most ``max_features``
+combining; the fitted model is a few small tables: at most ``max_features``
 vocabulary rows and one weight per term and class.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"\b\w\w+\b"
@@ -29,13 +29,20 @@ def terms(text: Column) -> Column:
     return F.concat(t, pairs)
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+def term_rows(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per term occurrence.
+
+    The outer form of explode keeps the optimizer from tokenising every text
+    a second time just to test that it has terms.
+    """
+    return (df.select(key, *extra, F.explode_outer(terms(F.col(text))).alias("term"))
+            .filter("term IS NOT NULL"))
+
+
+def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf).  A document's terms sit in one task, so the map side
     already combines them."""
-    # outer: a plain explode would tokenise every text twice, once to test
-    # that it has terms
-    long = df.select(key, *extra, F.explode_outer(terms(F.col(text))).alias("term")).filter("term IS NOT NULL")
-    return long.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return term_rows(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = 5000) -> DataFrame:
@@ -50,12 +57,18 @@ def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = 5000
         "term", "tf_total", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, term, w): sub-linear tf times idf, scaled to unit length per document."""
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
-        "_x", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    return raw.join(norm, key).select(key, *extra, "term", (F.col("_x") / F.col("_norm")).alias("w"))
+def weighted_terms(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
+                   extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, x) of the known terms: sub-linear tf times idf.
+
+    Unknown terms are dropped before the only shuffle, which goes by key, so
+    that this count and later sums per document meet in one task without
+    another one.  A document's rows come from one text and bound a task's
+    group.
+    """
+    known = term_rows(df, key, text, extra).join(F.broadcast(vocab.select("term", "idf")), "term")
+    counted = known.repartition(key).groupBy(key, *extra, "term", "idf").agg(F.count(F.lit(1)).alias("_tf"))
+    return counted.select(key, *extra, "term", ((1 + F.log("_tf")) * F.col("idf")).alias("x"))
 
 
 @dataclass
@@ -73,19 +86,22 @@ class TextModel:
         A document without known terms gets the priors.  Ties go to the first
         label by name.
         """
-        x = weigh(term_counts(df, key, text), self.vocab, key)
         wide = self.weights.groupBy("term").agg(
             F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
-        scored = (x.join(F.broadcast(wide), "term")
-                  .select(key, "w", F.explode("_w").alias("label", "_weight"))
-                  .groupBy(key, "label").agg(F.sum(F.col("w") * F.col("_weight")).alias("_s"))
-                  .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "_s"))).alias("_scores")))
+        x = weighted_terms(df, self.vocab, key, text)
+        sums = (x.join(F.broadcast(wide), "term").select(key, "x", F.explode("_w").alias("label", "_weight"))
+                .groupBy(key, "label").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"),
+                                           F.sum(F.col("x") * F.col("x")).alias("_q"))
+                .groupBy(key).agg(F.map_from_entries(F.collect_list(
+                    F.struct("label", (F.col("_s") / F.sqrt("_q")).alias("s")))).alias("_scores")))
         prior = self.priors.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior"))).alias("_priors"))
-        joined = df.select(key).join(scored, key, "left").crossJoin(F.broadcast(prior))
-        logs = F.transform("_priors", lambda p: F.struct(
-            p["label"].alias("label"),
-            (p["log_prior"] + F.coalesce(F.col("_scores")[p["label"]], F.lit(0.0))).alias("l")))
-        step = joined.withColumn("_l", logs)
+        joined = df.select(key).join(sums, key, "left").crossJoin(F.broadcast(prior))
+
+        def likelihood(label: Column) -> Column:
+            return F.coalesce(F.col("_scores")[label], F.lit(0.0))
+
+        step = joined.withColumn("_l", F.transform("_priors", lambda p: F.struct(
+            p["label"].alias("label"), (p["log_prior"] + likelihood(p["label"])).alias("l"))))
         step = step.withColumn("_top", F.array_max(F.transform("_l", lambda e: e["l"])))
         step = step.withColumn("_z", F.aggregate(
             "_l", F.lit(0.0), lambda acc, e: acc + F.exp(e["l"] - F.col("_top"))))
@@ -105,30 +121,35 @@ class TextModel:
         return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("vocab", "priors", "weights")])
 
 
-def fit(df: DataFrame, key: str, label: str, text: str = "text",
+def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
         alpha: float = 0.1, max_features: int = 5000) -> TextModel:
-    """Fit on (key, text, label); lazy until the model is used or saved."""
-    counts = term_counts(df, key, text, (label,))
-    vocab = vocabulary(counts, df, max_features)
-    x = weigh(counts, vocab, key, (label,))
-    sums = x.groupBy(label, "term").agg(F.sum("w").alias("_w"))
+    """Fit on (key, text, label) and store the model under ``path``.
+
+    The texts are read twice: once for the vocabulary, which is stored first,
+    and once for the class sums.
+    """
+    spark = df.sparkSession
+    vocabulary(term_counts(df, key, text), df, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
+    vocab = spark.read.parquet(f"{path}/vocab")
+    x = weighted_terms(df, vocab, key, text, (label,))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    unit = x.withColumn("w", F.col("x") / norm)
+    unit.groupBy(F.col(label).cast("string").alias("label"), "term").agg(
+        F.sum("w").alias("w")).write.mode("overwrite").parquet(f"{path}/sums")
+    sums = spark.read.parquet(f"{path}/sums")
     size = vocab.agg(F.count(F.lit(1)).alias("_v"))
-    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    whole = df.agg(F.count(F.lit(1)).alias("_all"))
+    classes = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = classes.agg(F.sum("_c").alias("_all"))
     priors = classes.crossJoin(F.broadcast(whole)).select(
-        F.col(label).cast("string").alias("label"), F.log(F.col("_c") / F.col("_all")).alias("log_prior"))
-    totals = sums.groupBy(label).agg(F.sum("_w").alias("_t"))
+        "label", F.log(F.col("_c") / F.col("_all")).alias("log_prior"))
+    priors.write.mode("overwrite").parquet(f"{path}/priors")
+    priors = spark.read.parquet(f"{path}/priors")
+    totals = sums.groupBy("label").agg(F.sum("w").alias("_t"))
     # every class needs a weight for every term: classes x vocabulary rows
-    grid = classes.select(label).crossJoin(F.broadcast(vocab.select("term")))
-    weights = (grid.join(sums, [label, "term"], "left").join(F.broadcast(totals), label)
+    grid = priors.select("label").crossJoin(F.broadcast(vocab.select("term")))
+    weights = (grid.join(sums, ["label", "term"], "left").join(F.broadcast(totals), "label")
                .crossJoin(F.broadcast(size))
-               .select(F.col(label).cast("string").alias("label"), "term",
-                       F.log((F.coalesce("_w", F.lit(0.0)) + alpha)
-                             / (F.col("_t") + alpha * F.col("_v"))).alias("weight")))
-    return TextModel(vocab, priors, weights)
-
-
-def fit_saved(df: DataFrame, key: str, label: str, path: str, text: str = "text", **kw) -> TextModel:
-    """Fit once, store the model and read it back, so scoring does not refit."""
-    fit(df, key, label, text, **kw).save(path)
-    return TextModel.load(df.sparkSession, path)
+               .select("label", "term", F.log((F.coalesce("w", F.lit(0.0)) + alpha)
+                                              / (F.col("_t") + alpha * F.col("_v"))).alias("weight")))
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
+    return TextModel.load(spark, path)

@@ -39,9 +39,9 @@ def joined_example(blocks: Column) -> Column:
 
 def page_blocks(form: Column) -> Column:
     """(text, label) blocks of a page's form items; blocks without text go."""
+    none = F.array().cast("array<string>")
     blocks = F.transform(form, lambda i: F.struct(
-        join_words(F.transform(F.coalesce(i["words"], F.array().cast("array<struct<text:string>>")),
-                               lambda w: F.coalesce(w["text"], F.lit("")))).alias("text"),
+        join_words(F.coalesce(F.transform(i["words"], lambda w: F.coalesce(w["text"], F.lit(""))), none)).alias("text"),
         codes.page_label(F.coalesce(i["label"], F.lit("other"))).alias("label")))
     return F.filter(blocks, lambda b: b["text"] != "")
 

@@ -159,9 +159,9 @@ def fixed_sample(spark, d):
 
 @query("capped_split", """
 WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)
-SELECT event_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 5000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c WHERE n <= 5000""")
+SELECT event_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 50000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c WHERE n <= 50000""")
 def capped_split(spark, d):
-    return corpus.capped_split(t.read(spark, d, "events").select("event_id"), "event_id", cap=5000)
+    return corpus.capped_split(t.read(spark, d, "events").select("event_id"), "event_id")
 
 
 # --- unions, counts, pools ----------------------------------------------------------
@@ -318,7 +318,7 @@ SELECT key AS doc_id, arg_max(label, l) AS label, round(max(1 / z), 4) AS confid
 def mnb_predict(spark, d):
     """Fit on the documents' languages, then score the same documents."""
     docs = _ascii_documents(spark, d)
-    fitted = model.fit_saved(docs, "doc_id", "lang", work_dir(spark, "text-model"))
+    fitted = model.fit(docs, "doc_id", "lang", work_dir(spark, "text-model"))
     return fitted.predict(docs, "doc_id").select("doc_id", "label", "confidence")
 
 
@@ -328,7 +328,7 @@ def model_quality(spark, d):
     from vitalforms.operators import metrics
 
     docs = corpus.stratified_split(_ascii_documents(spark, d), "lang", "doc_id", 0.2)
-    fitted = model.fit_saved(docs.filter("split = 'train'"), "doc_id", "lang", work_dir(spark, "text-model"))
+    fitted = model.fit(docs.filter("split = 'train'"), "doc_id", "lang", work_dir(spark, "text-model"))
     held = docs.filter("split = 'dev'")
     scored = fitted.predict(held, "doc_id").join(held.select("doc_id", "lang"), "doc_id")
     return metrics.classification_report(scored.selectExpr("lang AS actual", "label AS predicted"))
