@@ -39,19 +39,23 @@ def term_rows(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...
             .filter("term IS NOT NULL"))
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf).  A document's terms sit in one task, so the map side
-    already combines them."""
-    return term_rows(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int = 5000) -> DataFrame:
+def vocabulary(documents: DataFrame, text: str = "text", max_features: int = 5000) -> DataFrame:
     """(term, tf_total, df, idf) of the most frequent terms, ties by term.
 
-    idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.
+    idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.  Each
+    text gives its occurrences and its distinct terms, so both counts come
+    from one grouping by term, combined on the map side.
     """
     n = documents.agg(F.count(F.lit(1)).alias("_n"))
-    stats = counts.groupBy("term").agg(F.sum("tf").alias("tf_total"), F.count(F.lit(1)).alias("df"))
+
+    def marked(words: Column, tf: int, df: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+
+    listed = documents.select(terms(F.col(text)).alias("_t"))
+    rows = listed.select(F.explode_outer(F.concat(
+        marked(F.col("_t"), 1, 0), marked(F.array_distinct("_t"), 0, 1))).alias("r")).filter("r IS NOT NULL")
+    stats = rows.groupBy(F.col("r.term").alias("term")).agg(
+        F.sum("r.tf").alias("tf_total"), F.sum("r.df").alias("df"))
     top = stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
     return top.crossJoin(F.broadcast(n)).select(
         "term", "tf_total", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -129,7 +133,7 @@ def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
     and once for the class sums.
     """
     spark = df.sparkSession
-    vocabulary(term_counts(df, key, text), df, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
+    vocabulary(df, text, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
     x = weighted_terms(df, vocab, key, text, (label,))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))

@@ -296,8 +296,7 @@ def _ascii_documents(spark, d):
 
 @query("tfidf_vocabulary", with_ctes(_SRC, _TOKENS) + "SELECT term, CAST(tf_total AS BIGINT) AS tf_total, df, round(idf, 9) AS idf FROM vocab")
 def tfidf_vocabulary(spark, d):
-    docs = _ascii_documents(spark, d)
-    return model.vocabulary(model.term_counts(docs, "doc_id"), docs).withColumn("idf", F.round("idf", 9))
+    return model.vocabulary(_ascii_documents(spark, d)).withColumn("idf", F.round("idf", 9))
 
 
 _FIT = """raww AS (SELECT key, term, (1 + ln(tf)) * idf AS x FROM tf JOIN vocab USING (term)),
