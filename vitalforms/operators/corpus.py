@@ -107,10 +107,9 @@ def first_seen(df: DataFrame, name: str, position: str) -> DataFrame:
 
 def combination_count(pools: Mapping[str, DataFrame], column: str) -> DataFrame:
     """Sizes of name pools and the number of combinations they allow."""
-    sizes = None
-    for pool, df in pools.items():
-        one = df.agg(F.count_distinct(column).alias(pool))
-        sizes = one if sizes is None else sizes.crossJoin(F.broadcast(one))
+    spark = next(iter(pools.values())).sparkSession
+    sizes = spark.range(1).select(*[df.agg(F.count_distinct(column)).scalar().alias(pool)
+                                    for pool, df in pools.items()])
     product = F.lit(1).cast("decimal(38,0)")
     for pool in pools:
         product = (product * F.col(pool)).cast("decimal(38,0)")

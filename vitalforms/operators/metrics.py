@@ -71,9 +71,8 @@ def worst_predictions(pairs: DataFrame, key: str, k: int = 5, group: Sequence[st
 
 def compare_models(rates: DataFrame) -> DataFrame:
     """Mark the model with the smallest CER (the first by name on a tie)."""
-    best = rates.agg(F.min(F.struct("cer", "model")).alias("_b")).select(F.col("_b.model").alias("_best"))
-    return (rates.crossJoin(F.broadcast(best))
-            .withColumn("is_best", F.col("model") == F.col("_best")).drop("_best"))
+    best = rates.agg(F.min(F.struct("cer", "model"))["model"]).scalar()
+    return rates.withColumn("is_best", F.col("model") == best)
 
 
 def metric_drift(live: DataFrame, saved: DataFrame, limit: float = 2.0) -> DataFrame:
@@ -217,8 +216,8 @@ def classification_report(results: DataFrame) -> DataFrame:
                                     F.sum("support").alias("support"))
     scored = with_scores(per.withColumn("fp", F.col("said") - F.col("tp"))
                          .withColumn("fn", F.col("support") - F.col("tp")))
-    whole = per.agg(safe_ratio(F.sum("tp"), F.sum("support")).alias("accuracy"))
-    return scored.select("label", "precision", "recall", "f1", "support").crossJoin(F.broadcast(whole))
+    accuracy = per.agg(safe_ratio(F.sum("tp"), F.sum("support"))).scalar()
+    return scored.select("label", "precision", "recall", "f1", "support", accuracy.alias("accuracy"))
 
 
 def run_consistency(runs: DataFrame) -> DataFrame:

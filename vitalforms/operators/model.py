@@ -46,7 +46,7 @@ def vocabulary(documents: DataFrame, text: str = "text", max_features: int = 500
     text gives its occurrences and its distinct terms, so both counts come
     from one grouping by term, combined on the map side.
     """
-    n = documents.agg(F.count(F.lit(1)).alias("_n"))
+    n = documents.agg(F.count(F.lit(1))).scalar()
 
     def marked(words: Column, tf: int, df: int) -> Column:
         return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
@@ -57,8 +57,7 @@ def vocabulary(documents: DataFrame, text: str = "text", max_features: int = 500
     stats = rows.groupBy(F.col("r.term").alias("term")).agg(
         F.sum("r.tf").alias("tf_total"), F.sum("r.df").alias("df"))
     top = stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
-    return top.crossJoin(F.broadcast(n)).select(
-        "term", "tf_total", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return top.select("term", "tf_total", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weighted_terms(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
@@ -98,8 +97,8 @@ class TextModel:
                                            F.sum(F.col("x") * F.col("x")).alias("_q"))
                 .groupBy(key).agg(F.map_from_entries(F.collect_list(
                     F.struct("label", (F.col("_s") / F.sqrt("_q")).alias("s")))).alias("_scores")))
-        prior = self.priors.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior"))).alias("_priors"))
-        joined = df.select(key).join(sums, key, "left").crossJoin(F.broadcast(prior))
+        prior = self.priors.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior")))).scalar()
+        joined = df.select(key).join(sums, key, "left").withColumn("_priors", prior)
 
         def likelihood(label: Column) -> Column:
             return F.coalesce(F.col("_scores")[label], F.lit(0.0))
@@ -141,19 +140,17 @@ def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
     unit.groupBy(F.col(label).cast("string").alias("label"), "term").agg(
         F.sum("w").alias("w")).write.mode("overwrite").parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums")
-    size = vocab.agg(F.count(F.lit(1)).alias("_v"))
+    size = vocab.agg(F.count(F.lit(1))).scalar()
     classes = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("_c"))
-    whole = classes.agg(F.sum("_c").alias("_all"))
-    priors = classes.crossJoin(F.broadcast(whole)).select(
-        "label", F.log(F.col("_c") / F.col("_all")).alias("log_prior"))
+    priors = classes.select("label", F.log(F.col("_c") / classes.agg(F.sum("_c")).scalar()).alias("log_prior"))
     priors.write.mode("overwrite").parquet(f"{path}/priors")
     priors = spark.read.parquet(f"{path}/priors")
     totals = sums.groupBy("label").agg(F.sum("w").alias("_t"))
     # every class needs a weight for every term: classes x vocabulary rows
-    grid = priors.select("label").crossJoin(F.broadcast(vocab.select("term")))
+    every = priors.agg(F.collect_list("label")).scalar()
+    grid = vocab.select("term", F.explode(every).alias("label"))
     weights = (grid.join(sums, ["label", "term"], "left").join(F.broadcast(totals), "label")
-               .crossJoin(F.broadcast(size))
                .select("label", "term", F.log((F.coalesce("w", F.lit(0.0)) + alpha)
-                                              / (F.col("_t") + alpha * F.col("_v"))).alias("weight")))
+                                              / (F.col("_t") + alpha * size)).alias("weight")))
     weights.write.mode("overwrite").parquet(f"{path}/weights")
     return TextModel.load(spark, path)

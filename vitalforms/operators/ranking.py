@@ -91,8 +91,10 @@ def flag_first(df: DataFrame, order: str, size: Column, group: Sequence[str] = (
            .select(*group, F.col(order).alias("_cut")))
     every = offsets.groupBy(*group).agg(
         (F.max(size.cast("long")) >= F.max("_total")).alias("_all"))
-    limits = _null_safe(every, cut, group, "left")
-    joined = _null_safe(df, limits, group, "left")
+    if group:
+        joined = _null_safe(df, _null_safe(every, cut, group, "left"), group, "left")
+    else:
+        joined = df.withColumns({"_cut": cut.scalar(), "_all": every.scalar()})
     return (joined.withColumn(out, F.coalesce(
         F.col("_all") | (F.col(order) <= F.col("_cut")), F.lit(False)))
         .drop(_BUCKET, "_cut", "_all"))

@@ -44,7 +44,7 @@ def span_offsets(spark, d):
 SELECT doc_id, label, s + length(body) - length(ltrim(body, ' ' || chr(10) || chr(9))) AS start,
   s + length(body) - length(ltrim(body, ' ' || chr(10) || chr(9))) + length(trim(body, ' ' || chr(10) || chr(9))) AS "end"
 FROM bo WHERE e > s AND e - s <= 200 AND trim(body, ' ' || chr(10) || chr(9)) <> ''
-  AND NOT (length(trim(body, ' ' || chr(10) || chr(9))) = 1 AND contains('.:,;!?()[]{}%$#@&*+-=/<>|\\''"', trim(body, ' ' || chr(10) || chr(9))))""")
+  AND NOT (length(trim(body, ' ' || chr(10) || chr(9))) = 1 AND contains('.:,;!?()[]{}%$#@&*+-=/<>|\\''"', trim(body, ' ' || chr(10) || chr(9))))""", casts="start INT,end INT")
 def span_clean(spark, d):
     cleaned = _spans(spark, d).withColumn("spans", sp.clean_spans(F.col("text"), F.col("spans")))
     return span_ops.span_rows(cleaned, ["doc_id"]).select("doc_id", "label", "start", "end")
@@ -63,7 +63,7 @@ def span_audit(spark, d):
 , r AS (SELECT *, CASE WHEN trim(body, ' ' || chr(10)) = '' THEN 'EMPTY' WHEN trim(body, ' ' || chr(10)) <> body THEN 'WHITESPACE'
   WHEN length(body) = 1 AND NOT regexp_matches(body, '^[\\p{L}\\p{N}]$') THEN 'SINGLE PUNCTUATION CHAR' END AS reason FROM bo),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, s, e, label) AS rank FROM r WHERE reason IS NOT NULL)
-SELECT source, doc_id, s AS start, label, reason, rank FROM k WHERE rank <= 10""")
+SELECT source, doc_id, s AS start, label, reason, rank FROM k WHERE rank <= 10""", casts="start INT,rank INT")
 def span_audit_first(spark, d):
     _, first = span_ops.audit_spans(span_ops.span_rows(_spans(spark, d), ["doc_id", "source"]), "source")
     return first.select("source", "doc_id", "start", "label", "reason", "rank")
@@ -74,7 +74,7 @@ def span_audit_first(spark, d):
 c AS (SELECT *, length(regexp_extract(substr(text, 1, s), '(\\w*)$', 1)) AS h, length(regexp_extract(substr(text, e + 1), '^(\\w*)', 1)) AS tl FROM d),
 x AS (SELECT doc_id, text, s - CASE WHEN regexp_matches(body, '^\\w') THEN h ELSE 0 END AS s, e + CASE WHEN regexp_matches(body, '\\w$') THEN tl ELSE 0 END AS e, s AS s0, e AS e0, body, h, tl FROM c),
 y AS (SELECT *, substr(text, s + 1, e - s) AS wide FROM x)
-SELECT doc_id, s AS start, e AS "end" FROM y WHERE trim(wide, ' ' || chr(10)) = wide""")
+SELECT doc_id, s AS start, e AS "end" FROM y WHERE trim(wide, ' ' || chr(10)) = wide""", casts="start INT,end INT")
 def span_align(spark, d):
     """Cut words are taken in whole; spans that keep a blank edge drop out."""
     only = _spans(spark, d).withColumn("spans", F.filter("spans", lambda s: s["label"] == "D"))
@@ -108,7 +108,7 @@ def span_nonoverlap(spark, d):
 SELECT doc_id, 'F102_CHILD_FIRST' AS label, 7 AS start, 7 + length(a) AS "end" FROM x
 UNION ALL SELECT doc_id, 'F102_CHILD_LAST', 8 + length(a), 8 + length(a) + length(b) FROM x
 UNION ALL SELECT doc_id, 'F102_DATE_OF_BIRTH', instr(text, c) - 1, instr(text, c) - 1 + length(c) FROM x
-UNION ALL SELECT doc_id, 'F102_MOTHER_FIRST', length(text) - length(a), length(text) FROM x""")
+UNION ALL SELECT doc_id, 'F102_MOTHER_FIRST', length(text) - length(a), length(text) FROM x""", casts="start INT,end INT")
 def span_locate(spark, d):
     """The mother's equal first name is found at its second occurrence."""
     raw = t.raw_columns(spark, d)
@@ -169,7 +169,7 @@ def capped_split(spark, d):
 @query("corpus_union_counts", """
 SELECT source, count(*) AS docs, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS entities, 0 AS skipped FROM (
   SELECT 'documents' AS source, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', length(text) FROM benchmark
-  UNION ALL SELECT 'turns', length(text) FROM conversations) GROUP BY 1""")
+  UNION ALL SELECT 'turns', length(text) FROM conversations) GROUP BY 1""", casts="entities BIGINT,skipped BIGINT")
 def corpus_union_counts(spark, d):
     whole = F.array(sp.span(F.lit(0), F.length("text"), F.lit("TEXT")))
     parts = {
@@ -201,7 +201,7 @@ def name_combinations(spark, d):
     pools = {"first": t.read(spark, d, "part").select(F.col("p_name").alias("name")),
              "last": t.read(spark, d, "customer").select(F.col("c_mktsegment").alias("name")),
              "middle": t.read(spark, d, "nation").select(F.col("n_name").alias("name"))}
-    return corpus.combination_count(pools, "name")
+    return corpus.combination_count(pools, "name").withColumn("combinations", F.col("combinations").cast("long"))
 
 
 @query("annotation_repair", """

@@ -270,7 +270,7 @@ def keyword_classify_long(spark, d):
 
 @query("classify_proba", f"SELECT doc_id, form_code, form_code AS label, 1.0 AS confidence, "
        + ", ".join(f"CAST(form_code = '{c}' AS DOUBLE) AS p_{c}" for c in formcat.TEXT_CLASSES)
-       + f" FROM ({_classes_sql(FORM_KEYWORDS)})")
+       + f" FROM ({_classes_sql(FORM_KEYWORDS)})", casts="confidence DOUBLE")
 def classify_proba(spark, d):
     out = classify.classify(_class_docs(spark, d), "body", "doc_id")
     return out.select("doc_id", "form_code", "label", "confidence",
@@ -336,7 +336,7 @@ for _t, _h in (("birth", "1A"), ("death", "2A"), ("marriage", "3A")):
            f"FROM typed WHERE form_type = '{kind}'"
            for kind, cols in _STORED.items() for target, e in cols.items())
        + ") SELECT doc_id, field_name, extracted_value, CASE WHEN own THEN conf ELSE 0.0 END AS ner_confidence_score "
-         "FROM l WHERE trim(extracted_value) <> ''")
+         "FROM l WHERE trim(extracted_value) <> ''", casts="ner_confidence_score DOUBLE")
 def stored_fields(spark, d):
     return digit.stored_rows(digit.with_text(t.typed_dictionaries(spark, d)))
 

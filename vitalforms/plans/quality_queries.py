@@ -74,7 +74,7 @@ def exact_match(spark, d):
 @query("worst_predictions", with_ctes(_PAIRS) + """
 SELECT * FROM (SELECT model, sample_id, truth, pred, levenshtein(pred, truth) AS distance,
   row_number() OVER (PARTITION BY model ORDER BY levenshtein(pred, truth) DESC, sample_id) AS rank
-  FROM pairs WHERE levenshtein(pred, truth) > 0) WHERE rank <= 5""")
+  FROM pairs WHERE levenshtein(pred, truth) > 0) WHERE rank <= 5""", casts="distance INT,rank INT")
 def worst_predictions(spark, d):
     return metrics.worst_predictions(_pairs(spark, d), "sample_id", 5, ["model"])
 
@@ -95,7 +95,7 @@ def metric_drift(spark, d):
 
 
 @query("pair_check", with_ctes(_PAIRS) + """
-SELECT count(*) AS n, sum(CAST(truth = pred AS INT)) AS same FROM pairs WHERE model = 'ocr'""")
+SELECT count(*) AS n, sum(CAST(truth = pred AS INT)) AS same FROM pairs WHERE model = 'ocr'""", casts="same BIGINT")
 def pair_check(spark, d):
     p = _pairs(spark, d).filter("model = 'ocr'")
     both = metrics.pair_predictions(p.select("sample_id", F.col("pred").alias("text")),
@@ -137,7 +137,7 @@ def _label_sets(spark, d):
 
 @query("label_scores", with_ctes(_SETS) + f"""
 , c AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM h GROUP BY 1 HAVING sum(tp) + sum(fn) > 0),
-s AS (SELECT *, {_SCORES} FROM c) SELECT *, {_F1} FROM s""")
+s AS (SELECT *, {_SCORES} FROM c) SELECT *, {_F1} FROM s""", casts="tp BIGINT,fp BIGINT,fn BIGINT")
 def label_scores(spark, d):
     return metrics.label_scores(*_label_sets(spark, d))
 
@@ -146,7 +146,7 @@ def label_scores(spark, d):
 , c AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM h GROUP BY 1 HAVING sum(tp) + sum(fn) > 0),
 r AS (SELECT split_part(label, '_', 1) AS form, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c
   GROUP BY ROLLUP (split_part(label, '_', 1), label)),
-s AS (SELECT *, {_SCORES} FROM r) SELECT *, {_F1} FROM s""")
+s AS (SELECT *, {_SCORES} FROM r) SELECT *, {_F1} FROM s""", casts="tp BIGINT,fp BIGINT,fn BIGINT")
 def label_rollup(spark, d):
     counts = metrics.label_counts(*_label_sets(spark, d))
     return metrics.label_rollup(counts, metrics.label_family(F.col("label")))
@@ -180,7 +180,7 @@ def expected_recall(spark, d):
 @query("accuracy_by_form", with_ctes(_TESTS) + """
 , r AS (SELECT form, test_id, sum(correct) AS correct, sum(total) AS total FROM tests GROUP BY ROLLUP (form, test_id)),
 s AS (SELECT *, CASE WHEN total > 0 THEN correct / total * 100 ELSE 0 END AS accuracy FROM r)
-SELECT *, CASE WHEN accuracy >= 70 THEN 'pass' WHEN accuracy >= 50 THEN 'warn' ELSE 'fail' END AS mark FROM s""")
+SELECT *, CASE WHEN accuracy >= 70 THEN 'pass' WHEN accuracy >= 50 THEN 'warn' ELSE 'fail' END AS mark FROM s""", casts="correct BIGINT,total BIGINT")
 def accuracy_by_form(spark, d):
     return metrics.accuracy_rollup(metrics.expected_recall(_tests(spark, d)))
 
@@ -192,7 +192,7 @@ a AS (SELECT doc_id, 0 AS s, n AS e, label FROM sp), b AS (SELECT doc_id, 0 AS s
 h AS (SELECT coalesce(a.label, b.label) AS label, CAST(a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AS INT) AS tp,
   CAST(a.doc_id IS NULL AS INT) AS fp, CAST(b.doc_id IS NULL AS INT) AS fn FROM a FULL OUTER JOIN b USING (doc_id, s, e, label)),
 c AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM h GROUP BY 1), s AS (SELECT *, {_SCORES} FROM c),
-f AS (SELECT *, {_F1} FROM s) SELECT *, f1 = 0 AS is_zero FROM f""")
+f AS (SELECT *, {_F1} FROM s) SELECT *, f1 = 0 AS is_zero FROM f""", casts="tp BIGINT,fp BIGINT,fn BIGINT")
 def span_scores(spark, d):
     turns = t.read(spark, d, "conversations").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.lit(0).alias("start"),

@@ -140,7 +140,7 @@ def pivot_fields(spark, d):
 
 @query("unpivot_fields", " UNION ALL ".join(
     f"SELECT p_partkey, '{c}' AS field_name, CAST({c} AS VARCHAR) AS extracted_value, 0.9 AS ner_confidence_score "
-    f"FROM part WHERE trim(CAST({c} AS VARCHAR)) <> ''" for c in ("p_name", "p_brand", "p_type", "p_size")))
+    f"FROM part WHERE trim(CAST({c} AS VARCHAR)) <> ''" for c in ("p_name", "p_brand", "p_type", "p_size")), casts="ner_confidence_score DOUBLE")
 def unpivot_fields(spark, d):
     return records.unpivot_fields(t.read(spark, d, "part"), "p_partkey",
                                   ["p_name", "p_brand", "p_type", "p_size"], F.lit(0.9))

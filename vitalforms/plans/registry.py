@@ -14,12 +14,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` is left out where SQL cannot express it."""
+def query(name: str, sql: str | None = None, casts: str = "") -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is left out where SQL cannot express it.
+
+    ``casts`` ("column type, ...") brings columns the SQL engine widens, such
+    as sums of integers, to the query's types.
+    """
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            pairs = [c.rsplit(" ", 1) for c in casts.split(",")] if casts else []
+            items = ", ".join(f'CAST("{c.strip()}" AS {k}) AS "{c.strip()}"' for c, k in pairs)
+            ORACLES[name] = f"SELECT * REPLACE ({items}) FROM ({sql})" if items else sql
         return fn
 
     return add

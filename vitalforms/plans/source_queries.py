@@ -76,7 +76,7 @@ def upload_gate(spark, d):
 
 @query("request_decode", """
 SELECT event_id AS doc_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS status, 'k' AS field_name, CAST(json_extract(props, '$.k') AS VARCHAR) AS value
-FROM events WHERE user_id % 5 <> 0""")
+FROM events WHERE user_id % 5 <> 0""", casts="doc_id INT")
 def request_decode(spark, d):
     body = F.to_json(F.struct(
         F.when(F.col("user_id") % 5 != 0, F.col("event_id").cast("int")).alias("doc_id"),
@@ -128,7 +128,7 @@ def name_pools(spark, d):
     firsts = t.read(spark, d, "part").agg(F.struct(F.collect_set("p_name").alias("all")).alias("first_names"))
     lasts = t.read(spark, d, "customer").agg(F.collect_set("c_mktsegment").alias("last_names"))
     path = work_dir(spark, "names")
-    firsts.crossJoin(lasts).write.json(path)
+    firsts.withColumn("last_names", lasts.scalar()).write.json(path)
     return ann.read_name_pools(spark, path)
 
 

@@ -50,10 +50,10 @@ def upload_rows(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     Ids follow the largest stored one in digest order of the upload key;
     status is Pending.
     """
-    last = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_last"))
+    last = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0))).scalar()
     keyed = with_digest_bucket(uploads.withColumn("_d", digest(F.col("upload_key"))), "_d")
-    return ranked(keyed, ["_d"], out="_n").crossJoin(F.broadcast(last)).select(
-        (F.col("_last") + F.col("_n")).alias("doc_id"), "user_id", "type_id",
+    return ranked(keyed, ["_d"], out="_n").select(
+        (last + F.col("_n")).alias("doc_id"), "user_id", "type_id",
         F.lit("Pending").alias("status"), F.lit(0.0).cast("float").alias("mnb_confidence_score"),
         F.col("uploaded_at").alias("upload_date"), "upload_key")
 
