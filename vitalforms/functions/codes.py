@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalforms.catalog import forms, labels
+from vitalforms.session import small_table
 
 
 def lookup(mapping: dict, key: Column, default: object = None) -> Column:
@@ -97,4 +98,4 @@ def form_type_table(spark: SparkSession) -> DataFrame:
     """The form type dimension (four rows)."""
     types = ["int"] + ["string"] * (len(forms.FORM_TYPE_COLUMNS) - 1)
     schema = ", ".join(f"{c} {t}" for c, t in zip(forms.FORM_TYPE_COLUMNS, types))
-    return spark.createDataFrame(forms.FORM_TYPES, schema)
+    return small_table(spark, forms.FORM_TYPES, schema)

@@ -21,12 +21,12 @@ def digest(*key: Column, seed: str = "") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
-def with_digest_bucket(df: DataFrame, order: str, width: int = 3) -> DataFrame:
+def with_digest_bucket(df: DataFrame, order: str, width: int = 4) -> DataFrame:
     """Bucket an MD5 order column by its leading hex digits (16**width buckets)."""
     return df.withColumn(_BUCKET, F.substring(F.col(order), 1, width))
 
 
-def with_position_bucket(df: DataFrame, order: str, buckets: int = 200) -> DataFrame:
+def with_position_bucket(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
     """Bucket a numeric order column at its approximate quantiles.
 
     The bounds are at most ``buckets`` numbers, read once and put into the

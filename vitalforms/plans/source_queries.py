@@ -87,23 +87,26 @@ def request_decode(spark, d):
 
 
 @query("page_examples", """
-WITH i AS (SELECT conv_id, turn, role, array_to_string(list_filter([trim(w) FOR w IN string_split(regexp_replace(text, '[^!-~]+', ' ', 'g'), ' ')], lambda w: w <> ''), ' ') AS block FROM conversations),
-f AS (SELECT * FROM i WHERE block <> '')
-SELECT conv_id AS page_id, string_agg(block, ' ' ORDER BY turn) AS text, string_agg(CASE role WHEN 'user' THEN 'FORM_QUESTION' WHEN 'assistant' THEN 'FORM_ANSWER' ELSE 'FORM_OTHER' END, ',' ORDER BY turn) AS labels
-FROM f GROUP BY 1""")
+WITH l AS (SELECT conv_id * 100 + turn AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations),
+i AS (SELECT page_id, n, array_to_string(list_filter([trim(w) FOR w IN string_split(regexp_replace(line, '[^!-~]+', ' ', 'g'), ' ')], lambda w: w <> ''), ' ') AS block FROM l)
+SELECT page_id, string_agg(block, ' ' ORDER BY n) AS text, string_agg(CASE n % 3 WHEN 0 THEN 'FORM_OTHER' WHEN 1 THEN 'FORM_QUESTION' ELSE 'FORM_ANSWER' END, ',' ORDER BY n) AS labels
+FROM i WHERE block <> '' GROUP BY 1""")
 def page_examples(spark, d):
-    """Conversations written as nested page JSON, read back and joined."""
-    turns = t.read(spark, d, "conversations")
-    words = F.transform(F.filter(F.split(F.regexp_replace("text", "[^!-~]+", " "), " "), lambda w: w != ""),
-                        lambda w: F.struct(F.concat(F.lit(" "), w).alias("text")))
-    label = F.when(F.col("role") == "user", "question").when(F.col("role") == "assistant", "Answer").otherwise("system")
-    item = F.struct("turn", F.struct(label.alias("label"), words.alias("words"), F.col("turn").alias("id")).alias("i"))
-    form = F.transform(F.array_sort(F.collect_list(F.col("_i"))), lambda x: x["i"])
-    built = turns.select("conv_id", item.alias("_i")).groupBy("conv_id").agg(form.alias("form"))
+    """Turns written as nested page JSON (a line per block), read back, joined."""
+    lines = F.split("text", "\n")
+
+    def item(line, i):
+        words = F.transform(F.split(F.regexp_replace(line, "[^!-~]+", " "), " "),
+                            lambda w: F.struct(F.concat(F.lit(" "), w).alias("text")))
+        full = F.filter(words, lambda w: w["text"] != " ")
+        label = F.when(i % 3 == 0, "question").when(i % 3 == 1, "Answer").otherwise("stamp")
+        return F.struct(label.alias("label"), full.alias("words"), i.alias("id"))
+
+    built = t.read(spark, d, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), F.transform(lines, item).alias("form"))
     path = work_dir(spark, "pages")
     built.write.json(path)
-    read = spark.read.schema("conv_id long, " + pg.PAGE).json(path).withColumnRenamed("conv_id", "page_id")
-    done = pg.page_examples(read)
+    done = pg.page_examples(spark.read.schema("page_id long, " + pg.PAGE).json(path))
     return done.select("page_id", "text", F.array_join(F.transform("spans", lambda s: s["label"]), ",").alias("labels"))
 
 

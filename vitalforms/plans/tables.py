@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vitalforms.catalog.fields import DATA_FIELDS
 from vitalforms.catalog.forms import FORM_TYPES
 from vitalforms.functions.patterns import MONTHS
+from vitalforms.session import small_table
 
 # Which stored field a line number stands for, per form type.
 LINE_FIELDS = {
@@ -149,12 +150,12 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([r[:3] for r in FORM_TYPES], "type_id int, type_code string, type_name string")
+    return small_table(spark, [r[:3] for r in FORM_TYPES], "type_id int, type_code string, type_name string")
 
 
 def data_fields(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, "text") for n, i in FIELD_ID.items()],
-                                 "field_id int, field_name string, data_type string")
+    return small_table(spark, [(i, n, "text") for n, i in FIELD_ID.items()],
+                       "field_id int, field_name string, data_type string")
 
 
 def document_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +167,7 @@ def raw_columns(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     o = read(spark, folder, "orders", spread=True)
     c, n = (read(spark, folder, t) for t in ("customer", "nation"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
-        F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+        n, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.selectExpr("o_orderkey AS doc_id", *extra, *[f"{e} AS {k}" for k, e in RAW_FIELDS.items()])
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -32,6 +34,19 @@ def build_session(app: str = "vitalforms", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal dimension as a local relation.
+
+    Unlike a table made from a Python list its size is known to the planner,
+    so a join with it is planned as a broadcast of this side.
+    """
+    fields = T.StructType.fromDDL(schema)
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    columns = {f.name: pa.array([r[i] for r in rows], arrow[f.dataType.simpleString()])
+               for i, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
