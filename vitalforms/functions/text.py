@@ -32,9 +32,18 @@ def db_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(DB_WHITESPACE))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f mentions it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def filled(c: Column) -> Column:
-    """NULL for an empty string, the value itself otherwise."""
-    return F.nullif(c, F.lit(""))
+    """NULL for an empty string, the value itself otherwise.
+
+    Written as an array filter because ``nullif`` evaluates its operand
+    twice, which multiplies when searches are nested.
+    """
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def stripped(c: Column) -> Column:
@@ -62,7 +71,8 @@ def null_chain(*cols: Column, default: str = "") -> Column:
 
 def capitalize(c: Column) -> Column:
     """First character upper, the rest lower (not per word)."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2**31 - 1)))
+    return _once(c, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
+                                       F.lower(F.substring(x, 2, 2**31 - 1))))
 
 
 def text_lines(c: Column) -> Column:
