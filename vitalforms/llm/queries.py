@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalforms.llm import (
-    language, maxscore, minhash_dedup, mixing, packing, personal_data, quality, sharding, token_counts,
+    language, maxscore, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup, token_counts,
 )
 from vitalforms.llm.common import documents
 
@@ -47,6 +47,11 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, folder), width=3, percent=85)
 
 
+@query()
+def op2_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.removed_runs(documents(spark, folder), 50))
+
+
 @query()
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), public_tokenizers.path(VOCABULARY))
