@@ -8,15 +8,15 @@ M = 8 and R = 2 a pair of similarity 0.85 is missed with probability below
 1e-4.  Every pair that meets is decided on the full shingle sets.
 
 Inside a bucket documents are compared with its smallest and largest member
-only, never pairwise; members of a bucket that still lie in different
-components afterwards are compared across the components.
+only, never pairwise.  For members of a bucket that still lie in different
+components afterwards the pairs to compare come from their rarest shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes, staged
@@ -100,19 +100,47 @@ def shingles_of(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.mapInArrow(lambda batches: in_blocks(batches, work), "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the wanted ids; the same plan at every size."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(shingles_of(texts.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    chosen = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
+    return staged(shingles_of(chosen, width).dropDuplicates(["doc_id"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
             .withColumn("_common", common)
             .where(100 * F.col("_common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("_common")))
             .select("a", "b"))
 
 
+def across(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``open_docs`` (doc_id, component) in different components that can reach the similarity.
+
+    Two sets of that similarity share one of the rarest shingles of each: of a
+    set of n, the first n - ceil(percent * n / 100) + 1 in order of frequency.
+    Shingles found once come first and match nothing, so a set with enough of
+    its own drops out before any pair is formed.
+    """
+    sized = open_docs.join(sets.hint("merge"), "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), "shingles")
+    tokens = sized.select("doc_id", "component", "n", F.explode("shingles").alias("s"))
+    often = staged(tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    met = tokens.join(often.hint("merge"), "s")
+    own = Window.partitionBy("doc_id")
+    allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
+    heads = met.withColumn("_allowed", allowed).where("_allowed > 0").withColumn(
+        "_rank", F.row_number().over(own.orderBy("f", "s"))).where("_rank <= _allowed")
+    heads = staged(heads.select("s", "doc_id", "component", "n"), "heads")
+    left, right = (heads.select("s", F.col("doc_id").alias(k), F.col("component").alias(f"{k}_c"),
+                                F.col("n").alias(f"{k}_n")) for k in "ab")
+    return left.join(right, "s").where(
+        (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))
+        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in an edge.
 
@@ -159,25 +187,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, halves:
         F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc_id").alias("b")),
                           F.struct(F.col("doc_id").alias("a"), F.col("high").alias("b")))).alias("p"))
         .select("p.*").where("a < b").distinct(), "pairs")
-    edges = staged(verified(pairs, docs, width, percent), "verified")
+    sets = wanted_sets(docs, members.select("doc_id").distinct(), width)
+    edges = staged(verified(pairs, sets, percent), "verified")
     labels = components(edges)
 
-    sizes = groups.select(F.col("first").alias("doc_id"), "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     named = members.select("key", "doc_id").join(
         labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_rows = staged(named.join(mixed, "key").join(sizes, "doc_id"), "open")
-    left, right = (open_rows.select("key", F.col("doc_id").alias(k), F.col("component").alias(f"{k}_c"),
-                                    F.col("n").alias(f"{k}_n")) for k in "ab")
-    rest = left.join(right, "key").where(
-        (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b").distinct()
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = staged(verified(rest, docs, width, percent), "verified")
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+    open_docs = staged(named.join(mixed, "key").select("doc_id", "component").distinct(), "open")
+    rest = across(open_docs, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    more = staged(verified(staged(rest, "rest"), sets, percent), "verified")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
 
     firsts = groups.join(labels, F.col("first") == F.col("id"), "left").select(
         *identity, F.coalesce("component", "first").alias("_component"))
