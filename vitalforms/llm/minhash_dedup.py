@@ -123,7 +123,8 @@ def across(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Two sets of that similarity share one of the rarest shingles of each: of a
     set of n, the first n - ceil(percent * n / 100) + 1 in order of frequency.
     Shingles found once come first and match nothing, so a set with enough of
-    its own drops out before any pair is formed.
+    its own drops out before any pair is formed.  The first shingle that two
+    such sets share has enough shingles from it on (``rest``) in both.
     """
     sized = open_docs.join(sets.hint("merge"), "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), "shingles")
     tokens = sized.select("doc_id", "component", "n", F.explode("shingles").alias("s"))
@@ -133,12 +134,13 @@ def across(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
     heads = met.withColumn("_allowed", allowed).where("_allowed > 0").withColumn(
         "_rank", F.row_number().over(own.orderBy("f", "s"))).where("_rank <= _allowed")
-    heads = staged(heads.select("s", "doc_id", "component", "n"), "heads")
+    left_over = (F.col("_allowed") + F.ceil(F.col("n") * percent / 100) - F.col("_rank")).alias("rest")
+    heads = staged(heads.select("s", "doc_id", "component", "n", left_over), "heads")
     left, right = (heads.select("s", F.col("doc_id").alias(k), F.col("component").alias(f"{k}_c"),
-                                F.col("n").alias(f"{k}_n")) for k in "ab")
+                                F.col("n").alias(f"{k}_n"), F.col("rest").alias(f"{k}_rest")) for k in "ab")
+    reach = (100 + percent) * F.least("a_rest", "b_rest") >= percent * (F.col("a_n") + F.col("b_n"))
     return left.join(right, "s").where(
-        (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b").distinct()
+        (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & reach).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
