@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes
+from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes, thinned
 
 UNKNOWN = "und"
 TABLE_BITS = 16
@@ -136,7 +136,8 @@ def fit(texts: list[bytes], languages: list[str], sequences: int = 2500, rounds:
 
 def training_rows(docs: DataFrame, sample: int) -> list[tuple[bytes, str]]:
     """At most ``sample`` labelled documents outside the held-out quarter, in an order given by their ids."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(docs)).select(
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
+    rows = thinned(known, sample, "doc_id").select(
         F.md5(F.col("doc_id").cast("string").cast("binary")).alias("k"), F.col("text").cast("string").alias("text"), "lang")
     return [(r.text.encode(), r.lang) for r in rows.orderBy("k", "text", "lang").limit(sample).collect()]
 

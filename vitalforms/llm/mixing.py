@@ -32,12 +32,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, epochs: in
     # The level that holds if all sources before this one, in order of size to weight, are capped.
     level = ((F.sum("source_size").over(every) * percent / F.lit(100.0)
               - epochs * F.coalesce(F.sum("source_size").over(so_far), F.lit(0))) / F.sum("weight").over(rest))
+    cap = (epochs * F.col("source_size")).cast("double")
     full = weighted.withColumn("_level", level).withColumn(
         "_open", F.col("_level") * F.col("weight") < epochs * F.col("source_size"))
-    first = F.min(F.when(F.col("_open"), F.col("_level"))).over(every)
-    cap = (epochs * F.col("source_size")).cast("double")
-    return full.select("source", "source_size", F.when(
-        F.col("_open"), F.col("weight") * first).otherwise(cap).alias("target"))
+    first = F.first(F.when(F.col("_open"), F.col("_level")), ignorenulls=True).over(every)
+    return full.select("source", "source_size", F.coalesce(F.least(F.col("weight") * first, cap), cap).alias("target"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -84,9 +84,8 @@ y AS (SELECT *, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST)
 l AS (SELECT *, (CAST(sum(source_size) OVER () * 150 AS DOUBLE) / 100.0 - 2 * coalesce(sum(source_size) OVER (ORDER BY
     source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM y),
-t AS (SELECT source, source_size, CASE WHEN level * weight < 2 * source_size
-  THEN weight * (SELECT min(level) FROM l WHERE level * weight < 2 * source_size)
-  ELSE CAST(2 * source_size AS DOUBLE) END AS target FROM l),
+t AS (SELECT source, source_size, coalesce(least(weight * (SELECT level FROM l WHERE level * weight < 2 * source_size
+    ORDER BY source_size / weight, source NULLS LAST LIMIT 1), CAST(2 * source_size AS DOUBLE)), CAST(2 * source_size AS DOUBLE)) AS target FROM l),
 q AS (SELECT d.doc_id, d.size, d.draw, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id
   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, CASE WHEN target > 0 THEN (sent + epoch * source_size) / target ELSE epoch END AS finish
