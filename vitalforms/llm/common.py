@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalforms.session import work_dir
 
-BLOCK_BYTES = 4_000_000  # text handled at once inside a task; bounds memory, never results
+BLOCK_BYTES = 1_500_000  # text handled at once inside a task; bounds memory, never results
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
@@ -54,14 +54,14 @@ def in_blocks(batches: Iterator[pa.RecordBatch],
               column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches to about BLOCK_BYTES of text and hand on (rows, texts as bytes)."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
-        start = total = 0
-        for i, text in enumerate(texts):
-            texts[i] = text = text or b""
-            total += len(text)
-            if total >= BLOCK_BYTES or i == len(texts) - 1:
-                yield work(batch.slice(start, i + 1 - start), texts[start:i + 1])
-                start, total = i + 1, 0
+        column_of = batch.column(batch.schema.get_field_index(column))
+        start, total, texts = 0, 0, []
+        for i, text in enumerate(column_of):
+            texts.append((text.as_py() or "").encode())
+            total += len(texts[-1])
+            if total >= BLOCK_BYTES or i == len(column_of) - 1:
+                yield work(batch.slice(start, i + 1 - start), texts)
+                start, total, texts = i + 1, 0, []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
