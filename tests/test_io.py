@@ -54,7 +54,7 @@ def test_word_list_rules(spark):
     rows = ["# x", "", "a01-000u-00-00 ok 154 408 768 27 51 AT A", "a01-000u-00-01 err 154 1 1 1 1 AT B", "short ok x",
             "b02-001-00-02 ok 1 2 3 4 5 NN " + "y" * 33]
     df = spark.createDataFrame([(r,) for r in rows], "value string")
-    assert [tuple(r) for r in ann.read_word_list(df).collect()] == [("a01/a01-000u/a01-000u-00-00.png", "A")]
+    assert [tuple(r) for r in ann.read_word_list(df, max_length=32).collect()] == [("a01/a01-000u/a01-000u-00-00.png", "A")]
 
 
 def test_requests(spark):

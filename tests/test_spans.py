@@ -63,9 +63,10 @@ def test_span_corpus_rules(spark):
     text = "  Lea Ramos : born 1999  "
     spans = [(0, 11, "NAME"), (12, 13, "PUNCT"), (3, 3, "EMPTY"), (0, 2, "BLANK"), (19, 21, "CUT"), (2, 5, "INSIDE")]
     df = spark.createDataFrame([(1, text, spans), (2, "x" * 300, [(0, 300, "LONG")])], f"doc_id int, text string, spans {SPANS}")
-    out = {r.doc_id: r for r in ops.span_corpus(df).collect()}
+    out = {r.doc_id: r for r in ops.span_corpus(df, max_length=200).collect()}
     assert [tuple(s) for s in out[1].spans] == [(2, 11, "NAME"), (19, 23, "CUT")]
     assert out[1].skipped == 3 and out[2].spans == [] and out[2].skipped == 1
+    assert [tuple(s) for s in ops.span_corpus(df).filter("doc_id = 2").first().spans] == [(0, 300, "LONG")]
 
 
 def test_contract_leaves_the_cut_word_out(spark):

@@ -16,7 +16,7 @@ def corrected(spark, fields, data):
                                 "doc_id long, form_data map<string,string>")
     rows = merge.correction_rows(req)
     known = merge.register_fields(fields, rows.select("field_name"))
-    return known, merge.upsert_corrections(data, merge.with_field_id(rows, known))
+    return known, merge.upsert_corrections(data, merge.with_field_id(rows, known), ["value"])
 
 
 def test_upsert_and_registration(spark):
@@ -27,7 +27,7 @@ def test_upsert_and_registration(spark):
     assert got[1, 1, 10].extracted_value == "M" and not got[1, 1, 10].is_corrected
     assert got[1, 1, 11].extracted_value == "Male" and got[1, 1, 11].is_corrected and got[1, 1, 11].ner_confidence_score == 0.8
     new = [r for k, r in got.items() if k[0] in (2, 3) and r.data_id > 12]
-    assert sorted(len(r.extracted_value) for r in new) == [1, 255] and all(r.ner_confidence_score == 0 for r in new)
+    assert sorted(len(r.extracted_value) for r in new) == [1, 300] and all(r.ner_confidence_score == 0 for r in new)
 
 
 def test_upsert_is_idempotent(spark):

@@ -12,7 +12,6 @@ SPANS = f"array<{SPAN}>"
 
 # Punctuation that is dropped when it stands alone in a span.
 LONE_PUNCTUATION = ".:,;!?()[]{}%$#@&*+-=/<>|\\'\""
-MAX_SPAN = 200
 
 
 def span(start: Column, end: Column, label: Column) -> Column:
@@ -35,19 +34,19 @@ def trim_span(text: Column, s: Column) -> Column:
     return span(s["start"] + lead, s["start"] + lead + F.length(strip(raw)), s["label"])
 
 
-def span_problem(text: Column, s: Column, max_length: int = MAX_SPAN) -> Column:
+def span_problem(text: Column, s: Column, max_length: int | None = None) -> Column:
     """Why a span must be dropped, NULL when it is usable."""
     size = s["end"] - s["start"]
     body = strip(covered(text, s))
     return (
         F.when(size <= 0, "empty")
-        .when(size > max_length, "too long")
+        .when(F.lit(False) if max_length is None else size > max_length, "too long")
         .when(body == "", "blank")
         .when((F.length(body) == 1) & F.contains(F.lit(LONE_PUNCTUATION), body), "punctuation")
     )
 
 
-def clean_spans(text: Column, spans: Column, max_length: int = MAX_SPAN) -> Column:
+def clean_spans(text: Column, spans: Column, max_length: int | None = None) -> Column:
     """Usable spans, trimmed."""
     kept = F.filter(spans, lambda s: span_problem(text, s, max_length).isNull())
     return F.transform(kept, lambda s: trim_span(text, s))

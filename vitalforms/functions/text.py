@@ -105,11 +105,6 @@ def blank_if_separators(c: Column) -> Column:
     return F.when(F.btrim(c, F.lit(" ,")) == "", F.lit("")).otherwise(c)
 
 
-def clip(c: Column, size: int = 255) -> Column:
-    """Value as a varchar(size) column stores it."""
-    return F.substring(c, 1, size)
-
-
 def words(c: Column) -> Column:
     """White-space separated tokens."""
     return F.filter(F.split(c, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda x: x != "")

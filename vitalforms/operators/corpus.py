@@ -25,13 +25,14 @@ def stratified_split(df: DataFrame, group: str, position: str, ratio: float = 0.
     """``split`` = dev for the first share of each group by position, else train.
 
     Each group gives at least one dev row; booster rows always train and do
-    not count towards their group.
+    not count towards their group.  A NULL booster is none.
     """
-    own = df if booster is None else df.filter(~booster)
+    boosts = None if booster is None else F.coalesce(booster, F.lit(False))
+    own = df if boosts is None else df.filter(~boosts)
     flagged = flag_first(with_position_bucket(own, position), position, _share(ratio, 1), [group])
     out = flagged.withColumn("split", F.when(F.col("chosen"), "dev").otherwise("train")).drop("chosen")
-    if booster is not None:
-        out = out.unionByName(df.filter(booster).withColumn("split", F.lit("train")))
+    if boosts is not None:
+        out = out.unionByName(df.filter(boosts).withColumn("split", F.lit("train")))
     return out
 
 
@@ -62,9 +63,9 @@ def fixed_sample(df: DataFrame, key: str, size: int = 200, seed: int = 42) -> Da
     return flag_first(keyed, "_d", F.lit(size)).filter("chosen").drop("chosen", "_d")
 
 
-def capped_split(df: DataFrame, position: str, cap: int = 50_000, val_ratio: float = 0.1) -> DataFrame:
-    """The first ``cap`` rows by position, cut into train and val in order."""
-    taken = flag_first(with_position_bucket(df, position), position, F.lit(cap)).filter("chosen").drop("chosen")
+def capped_split(df: DataFrame, position: str, cap: int | None = None, val_ratio: float = 0.1) -> DataFrame:
+    """The first ``cap`` rows by position (all without one), cut into train and val in order."""
+    taken = df if cap is None else flag_first(with_position_bucket(df, position), position, F.lit(cap)).filter("chosen").drop("chosen")
     return ordered_split(taken, position, 1 - val_ratio, ("train", "val"))
 
 

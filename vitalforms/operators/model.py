@@ -39,8 +39,9 @@ def term_rows(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...
             .filter("term IS NOT NULL"))
 
 
-def vocabulary(documents: DataFrame, text: str = "text", max_features: int = 5000) -> DataFrame:
-    """(term, tf_total, df, idf) of the most frequent terms, ties by term.
+def vocabulary(documents: DataFrame, text: str = "text", max_features: int | None = None) -> DataFrame:
+    """(term, tf_total, df, idf) of all terms, or of the ``max_features`` most
+    frequent ones, ties by term.
 
     idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.  Each
     text gives its occurrences and its distinct terms, so both counts come
@@ -56,7 +57,7 @@ def vocabulary(documents: DataFrame, text: str = "text", max_features: int = 500
         marked(F.col("_t"), 1, 0), marked(F.array_distinct("_t"), 0, 1))).alias("r")).filter("r IS NOT NULL")
     stats = rows.groupBy(F.col("r.term").alias("term")).agg(
         F.sum("r.tf").alias("tf_total"), F.sum("r.df").alias("df"))
-    top = stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
+    top = stats if max_features is None else stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
     return top.select("term", "tf_total", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -69,7 +70,7 @@ def weighted_terms(df: DataFrame, vocab: DataFrame, key: str, text: str = "text"
     another one.  A document's rows come from one text and bound a task's
     group.
     """
-    known = term_rows(df, key, text, extra).join(F.broadcast(vocab.select("term", "idf")), "term")
+    known = term_rows(df, key, text, extra).join(vocab.select("term", "idf"), "term")
     counted = known.repartition(key).groupBy(key, *extra, "term", "idf").agg(F.count(F.lit(1)).alias("_tf"))
     return counted.select(key, *extra, "term", ((1 + F.log("_tf")) * F.col("idf")).alias("x"))
 
@@ -92,7 +93,7 @@ class TextModel:
         wide = self.weights.groupBy("term").agg(
             F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
         x = weighted_terms(df, self.vocab, key, text)
-        sums = (x.join(F.broadcast(wide), "term").select(key, "x", F.explode("_w").alias("label", "_weight"))
+        sums = (x.join(wide, "term").select(key, "x", F.explode("_w").alias("label", "_weight"))
                 .groupBy(key, "label").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"),
                                            F.sum(F.col("x") * F.col("x")).alias("_q"))
                 .groupBy(key).agg(F.map_from_entries(F.collect_list(
@@ -125,7 +126,7 @@ class TextModel:
 
 
 def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
-        alpha: float = 0.1, max_features: int = 5000) -> TextModel:
+        alpha: float = 0.1, max_features: int | None = None) -> TextModel:
     """Fit on (key, text, label) and store the model under ``path``.
 
     The texts are read twice: once for the vocabulary, which is stored first,

@@ -96,13 +96,14 @@ def align_spans(text: Column, spans: Column) -> Column:
     return F.filter(fitted, usable)
 
 
-def span_corpus(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+def span_corpus(df: DataFrame, text: str = "text", spans: str = "spans",
+                max_length: int | None = None) -> DataFrame:
     """Cleaned, aligned, non-overlapping spans and the number dropped on the way.
 
     Overlap removal is not counted as skipped.
     """
     t = F.col(text)
-    step = df.withColumn("_clean", sp.clean_spans(t, F.col(spans)))
+    step = df.withColumn("_clean", sp.clean_spans(t, F.col(spans), max_length))
     step = step.withColumn("_fit", align_spans(t, F.col("_clean")))
     return (step.withColumn("skipped", F.size(spans) - F.size("_fit"))
             .withColumn(spans, sp.drop_overlaps(F.col("_fit"))).drop("_clean", "_fit"))

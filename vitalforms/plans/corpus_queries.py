@@ -46,7 +46,7 @@ SELECT doc_id, label, s + length(body) - length(ltrim(body, ' ' || chr(10) || ch
 FROM bo WHERE e > s AND e - s <= 200 AND trim(body, ' ' || chr(10) || chr(9)) <> ''
   AND NOT (length(trim(body, ' ' || chr(10) || chr(9))) = 1 AND contains('.:,;!?()[]{}%$#@&*+-=/<>|\\''"', trim(body, ' ' || chr(10) || chr(9))))""", casts="start INT,end INT")
 def span_clean(spark, d):
-    cleaned = _spans(spark, d).withColumn("spans", sp.clean_spans(F.col("text"), F.col("spans")))
+    cleaned = _spans(spark, d).withColumn("spans", sp.clean_spans(F.col("text"), F.col("spans"), max_length=200))
     return span_ops.span_rows(cleaned, ["doc_id"]).select("doc_id", "label", "start", "end")
 
 
@@ -159,9 +159,9 @@ def fixed_sample(spark, d):
 
 @query("capped_split", """
 WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)
-SELECT event_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 50000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c WHERE n <= 50000""")
+SELECT event_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 5000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c WHERE n <= 5000""")
 def capped_split(spark, d):
-    return corpus.capped_split(t.read(spark, d, "events").select("event_id"), "event_id")
+    return corpus.capped_split(t.read(spark, d, "events").select("event_id"), "event_id", cap=5000)
 
 
 # --- unions, counts, pools ----------------------------------------------------------
@@ -290,13 +290,13 @@ _SRC = "src AS (SELECT doc_id AS key, lang AS label, regexp_replace(text, '[^ -~
 
 
 def _ascii_documents(spark, d):
-    return t.read(spark, d, "documents", spread=True).selectExpr(
+    return t.read(spark, d, "documents").selectExpr(
         "doc_id", "lang", "regexp_replace(text, '[^ -~]', ' ') AS text")
 
 
 @query("tfidf_vocabulary", with_ctes(_SRC, _TOKENS) + "SELECT term, CAST(tf_total AS BIGINT) AS tf_total, df, round(idf, 9) AS idf FROM vocab")
 def tfidf_vocabulary(spark, d):
-    return model.vocabulary(_ascii_documents(spark, d)).withColumn("idf", F.round("idf", 9))
+    return model.vocabulary(_ascii_documents(spark, d), max_features=5000).withColumn("idf", F.round("idf", 9))
 
 
 _FIT = """raww AS (SELECT key, term, (1 + ln(tf)) * idf AS x FROM tf JOIN vocab USING (term)),
@@ -317,7 +317,7 @@ SELECT key AS doc_id, arg_max(label, l) AS label, round(max(1 / z), 4) AS confid
 def mnb_predict(spark, d):
     """Fit on the documents' languages, then score the same documents."""
     docs = _ascii_documents(spark, d)
-    fitted = model.fit(docs, "doc_id", "lang", work_dir(spark, "text-model"))
+    fitted = model.fit(docs, "doc_id", "lang", work_dir(spark, "text-model"), max_features=5000)
     return fitted.predict(docs, "doc_id").select("doc_id", "label", "confidence")
 
 
@@ -327,7 +327,7 @@ def model_quality(spark, d):
     from vitalforms.operators import metrics
 
     docs = corpus.stratified_split(_ascii_documents(spark, d), "lang", "doc_id", 0.2)
-    fitted = model.fit(docs.filter("split = 'train'"), "doc_id", "lang", work_dir(spark, "text-model"))
+    fitted = model.fit(docs.filter("split = 'train'"), "doc_id", "lang", work_dir(spark, "text-model"), max_features=5000)
     held = docs.filter("split = 'dev'")
     scored = fitted.predict(held, "doc_id").join(held.select("doc_id", "lang"), "doc_id")
     return metrics.classification_report(scored.selectExpr("lang AS actual", "label AS predicted"))

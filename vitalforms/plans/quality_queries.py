@@ -55,7 +55,7 @@ def combined_evaluation(spark, d):
 SELECT role, CAST(sum(levenshtein(translate(truth, 'aeo', '4c0'), truth)) AS DOUBLE) / sum(length(truth)) * 100 AS cer FROM p GROUP BY 1""")
 def char_error_rate(spark, d):
     """Whole conversation turns, however long."""
-    turns = t.read(spark, d, "conversations", spread=True).selectExpr("role", f"{_TRUTH_SPARK} AS truth")
+    turns = t.read(spark, d, "conversations").selectExpr("role", f"{_TRUTH_SPARK} AS truth")
     return metrics.char_error_rate(turns.withColumn("pred", F.expr(_PREDS["ocr"])), ["role"])
 
 

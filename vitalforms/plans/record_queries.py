@@ -228,15 +228,36 @@ SELECT (SELECT max(data_id) FROM data) + row_number() OVER (ORDER BY md5('|' ||
 def upsert_corrections(spark, d):
     corr = _corrections(spark, d)
     known = merge.register_fields(t.data_fields(spark), corr.select("field_name"))
-    return merge.upsert_corrections(t.document_data(spark, d), merge.with_field_id(corr, known))
+    return merge.upsert_corrections(t.document_data(spark, d), merge.with_field_id(corr, known), ["value"])
+
+
+@query("upsert_in_order", with_ctes(DATA, FIELDS) + f"""
+SELECT doc_id, field_id, CASE WHEN doc_id % 2 = 0 THEN repeat('apple ', 60) || doc_id ELSE 'zebra' END AS extracted_value, true AS is_corrected
+FROM (SELECT o_orderkey AS doc_id, (SELECT field_id FROM fields WHERE field_name = 'registry_no') AS field_id FROM orders)""")
+def upsert_in_order(spark, d):
+    """Two requests for one field: the later wins, whatever its value, and long values stay whole."""
+    orders = t.read(spark, d, "orders").selectExpr("o_orderkey AS doc_id")
+    seq = orders.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).filter("seq = 1 OR doc_id % 2 = 0")
+    value = F.when(F.col("seq") == 1, F.lit("zebra")).otherwise(F.concat(F.repeat(F.lit("apple "), 60), F.col("doc_id").cast("string")))
+    rows = merge.correction_rows(seq.withColumn("form_data", F.create_map(F.lit("registry_no"), value)), "seq")
+    known = t.data_fields(spark)
+    corrected = merge.with_field_id(rows, known)
+    merged = merge.upsert_corrections(t.document_data(spark, d), corrected, ["seq"])
+    wanted = merge.with_field_id(spark.createDataFrame([("registry_no",)], "field_name string"), known).select("field_id")
+    latest = merged.join(F.broadcast(wanted), "field_id").groupBy("doc_id", "field_id").agg(
+        F.max_by(F.struct("extracted_value", "is_corrected"), "data_id").alias("r"))
+    return latest.select("doc_id", "field_id", "r.extracted_value", "r.is_corrected")
 
 
 @query("status_update", with_ctes(DOCS) + """
-SELECT doc_id, user_id, type_id, CASE WHEN doc_id % 5 = 0 THEN 'Processed' ELSE status END AS status, upload_date FROM docs""")
+SELECT doc_id, user_id, type_id, CASE WHEN doc_id % 5 = 0 THEN 'Approved' WHEN doc_id % 5 = 1 THEN 'Rejected' ELSE status END AS status,
+  upload_date FROM docs""")
 def status_update(spark, d):
     docs = t.documents(spark, d)
-    updates = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "Processed").alias("status"))
-    return merge.update_status(docs, updates).select("doc_id", "user_id", "type_id", "status", "upload_date")
+    # two updates of a document, of which the later wins; NULL leaves the status alone
+    first = docs.select("doc_id", F.lit(1).alias("seq"), F.when(F.col("doc_id") % 5 < 2, "Rejected").alias("status"))
+    second = docs.select("doc_id", F.lit(2).alias("seq"), F.when(F.col("doc_id") % 5 == 0, "Approved").alias("status"))
+    return merge.update_status(docs, first.unionByName(second), ["seq"]).select("doc_id", "user_id", "type_id", "status", "upload_date")
 
 
 @query("orphan_report", with_ctes(DOCS, USERS, DATA, FIELDS, TYPES) + """

@@ -61,7 +61,7 @@ FROM p WHERE p[2] = 'ok' AND length(p[len(p)]) <= 32 AND len(p) >= 9""")
 def word_list(spark, d):
     path = work_dir(spark, "words")
     t.read(spark, d, "lineitem").selectExpr(f"{_WORD} AS value").write.text(path)
-    return ann.read_word_file(spark, path)
+    return ann.read_word_file(spark, path, max_length=32)
 
 
 @query("upload_gate", """

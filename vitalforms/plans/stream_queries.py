@@ -74,10 +74,10 @@ def stream_corrections(spark, d):
     t.document_data(spark, d).write.parquet(f"{root}/data/v=0")
     orders = _stream(spark, d, "orders")
     requests = orders.filter("o_orderkey % 4 = 0").select(
-        F.col("o_orderkey").alias("doc_id"),
+        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("seq"),
         F.create_map(F.lit("CHILD_FIRST"), F.concat(F.lit("stream "), F.col("o_custkey").cast("string")),
                      F.lit("blank"), F.lit("  ")).alias("form_data"))
-    jobs.correct(requests, f"{root}/checkpoint", f"{root}/fields", f"{root}/data")
+    jobs.correct(requests, f"{root}/checkpoint", f"{root}/fields", f"{root}/data", ["seq"])
     versions = spark.read.parquet(f"{root}/data")
     newest = versions.agg(F.max("v").alias("v"))
     return versions.join(F.broadcast(newest), "v", "left_semi").select("data_id", "extracted_value", "is_corrected")

@@ -54,9 +54,9 @@ def _pool(entries: str, index: str) -> str:
     return f"split_part('{entries}', ',', CAST(({index}) % {n} + 1 AS INT))"
 
 
-_FIRST = "Juan,Maria,Jose,Ana,Pedro,Rosa,Carlos,Lani"
-_LAST = "Dela Cruz,Santos,Reyes,Garcia,Torres,Flores,Bautista"
-_CITY = "Capas,Paniqui,Gerona,Camiling,Victoria,Bamban,Moncada"
+_FIRST = "Aldo,Brina,Celso,Dalia,Emil,Fina,Gorio,Hilda"
+_LAST = "De Abril,Bituin,Calixto,Dimaano,Estacio,Fortun,Galvan"
+_CITY = "Alta Vista,Belmira,Corvina,Dos Rios,Esperia,Fontana,Gavilan"
 _CITIZEN = "Filipino,American,Chinese,Japanese"
 _RELIGION = "Roman Catholic,Islam,Baptist"
 _CIVIL = "Single,Married,Widowed"
@@ -88,7 +88,7 @@ RAW_FIELDS: dict[str, str] = {
     "date_of_registration": f"{_MONTH} || ' ' || {_DAY} || ', ' || {_YEAR}",
     "sex": f"CASE {_K} % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE ' ' END",
     "dob_month": _MONTH, "dob_day": _DAY, "dob_year": _YEAR,
-    "place_birth_hospital": _blank(f"{_K} % 4 = 0", "'Ospital ng ' || " + _pool(_CITY, _C)),
+    "place_birth_hospital": _blank(f"{_K} % 4 = 0", "'Clinic of ' || " + _pool(_CITY, _C)),
     "place_birth_city": _pool(_CITY, _C), "place_birth_province": "n_name",
     "nationality_of_mother": _blank(f"{_K} % 6 = 0", _pool(_CITIZEN, _K)),
     "mother_citizenship": _pool(_CITIZEN, _C),
@@ -102,7 +102,7 @@ RAW_FIELDS: dict[str, str] = {
     "civil_status": _blank(f"{_K} % 8 = 0", _pool(_CIVIL, _K)),
     "citizenship": _pool(_CITIZEN, _K),
     "dod_month": _MONTH, "dod_day": _DAY, "dod_year": _YEAR,
-    "place_death_hospital": "'Ospital ng ' || " + _pool(_CITY, _C),
+    "place_death_hospital": "'Clinic of ' || " + _pool(_CITY, _C),
     "place_death_city": _pool(_CITY, _K), "place_death_province": "n_name",
     "cause_of_death": _pool(_CAUSE, _K), "cause_antecedent": _pool(_CAUSE, _C),
     "cause_underlying": _blank(f"{_K} % 2 = 0", _pool(_CAUSE, f"{_C} + 1")),
@@ -130,15 +130,8 @@ ORDER_TYPE = f"CASE {_K} % 3 WHEN 0 THEN 'birth' WHEN 1 THEN 'death' ELSE 'marri
 ORDER_HINT = f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE {ORDER_TYPE} END"
 
 
-def read(spark: SparkSession, folder: str, table: str, spread: bool = False) -> DataFrame:
-    """One table; ``spread`` deals a scan with fewer tasks than cores out to all
-    cores, which pays for per-row heavy work on a small file.  A table of many
-    files is left as it is."""
-    df = spark.read.parquet(f"{folder}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +157,7 @@ def document_data(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_columns(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """doc_id and every raw field as a column."""
-    o = read(spark, folder, "orders", spread=True)
+    o = read(spark, folder, "orders")
     c, n = (read(spark, folder, t) for t in ("customer", "nation"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         n, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -51,13 +50,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; every job
-    gets its own child of it.  Only a local-mode session, where driver and
-    executors share one disk, may fall back to a temporary folder.
+    gets its own child of it.  Where it is unset the folder lies in the
+    warehouse, which driver and executors share as well.
     """
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="vitalforms-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -68,7 +68,7 @@ def folder_annotations(images: DataFrame, sidecars: DataFrame, root: str,
         extension(F.col("path")).isin(*extensions))
     joined = own.withColumn("_base", _without_extension(F.col("path"))).join(side, "_base", "left")
     base = root.rstrip("/") + "/"
-    rel = F.when(F.startswith("path", F.lit(base)), F.substring("path", len(base) + 1, 100_000)).otherwise(
+    rel = F.when(F.startswith("path", F.lit(base)), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(
         F.col("path"))
     return joined.select(
         F.replace(rel, F.lit("\\"), F.lit("/")).alias("image_path"),
@@ -82,26 +82,26 @@ def upload_gate(files: DataFrame, path: str = "path") -> DataFrame:
             .withColumn("route", F.when(ext == "pdf", "pdf").otherwise("image")))
 
 
-def read_word_list(lines: DataFrame, value: str = "value", max_length: int = 32) -> DataFrame:
+def read_word_list(lines: DataFrame, value: str = "value", max_length: int | None = None) -> DataFrame:
     """(image_path, text) of a handwriting word list.
 
     Comments, blank lines, short rows, rows not segmented ``ok`` and words
-    over ``max_length`` characters are left out.
+    over ``max_length`` characters (if given) are left out.
     """
     row = strip(F.col(value))
     parts = F.split(row, " ")
     rows = lines.filter((row != "") & ~F.startswith(row, F.lit("#"))).select(parts.alias("p")).filter(
         F.size("p") >= 9)
     word, seg, text = F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.element_at("p", -1)
-    good = rows.filter((seg == "ok") & F.length(text).between(1, max_length))
+    good = rows.filter((seg == "ok") & (F.length(text) >= 1) & (F.lit(True) if max_length is None else F.length(text) <= max_length))
     ids = F.split(word, "-")
     path = F.concat_ws("/", F.get(ids, F.lit(0)), F.concat_ws("-", F.get(ids, F.lit(0)), F.get(ids, F.lit(1))),
                        F.concat(word, F.lit(".png")))
     return good.select(path.alias("image_path"), text.alias("text"))
 
 
-def read_word_file(spark: SparkSession, path: str) -> DataFrame:
-    return read_word_list(spark.read.text(path))
+def read_word_file(spark: SparkSession, path: str, max_length: int | None = None) -> DataFrame:
+    return read_word_list(spark.read.text(path), max_length=max_length)
 
 
 def read_name_pools(spark: SparkSession, path: str) -> DataFrame:
