@@ -20,15 +20,27 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared work folder and read again.
 
     Cuts the lineage, so a lost executor costs a re-read and no recomputation,
-    and fixes values that must not change between two reads.
+    and fixes values that must not change between two reads.  The shuffle files
+    of the write go when it ends; nothing reads them again.
     """
     spark = df.sparkSession
     path = work_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
