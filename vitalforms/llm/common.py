@@ -63,15 +63,15 @@ def thinned(rows: DataFrame, sample: int, *keys: str) -> DataFrame:
 
 def in_blocks(batches: Iterator[pa.RecordBatch],
               work: Callable[[pa.RecordBatch, list[bytes]], Iterator[pa.RecordBatch] | pa.RecordBatch],
-              column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches to about BLOCK_BYTES of text and hand on (rows, texts as bytes)."""
+              column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches to about ``size`` bytes of text and hand on (rows, texts as bytes)."""
     for batch in batches:
         column_of = batch.column(batch.schema.get_field_index(column))
         start, total, texts = 0, 0, []
         for i, text in enumerate(column_of):
             texts.append((text.as_py() or "").encode())
             total += len(texts[-1])
-            if total >= BLOCK_BYTES or i == len(column_of) - 1:
+            if total >= size or i == len(column_of) - 1:
                 yield work(batch.slice(start, i + 1 - start), texts)
                 start, total, texts = i + 1, 0, []
 

@@ -24,6 +24,7 @@ from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes, t
 
 UNKNOWN = "und"
 TABLE_BITS = 16
+BLOCK = 500_000  # bytes of text scored at once: several tables of words x languages are held for them
 STRETCH = 40          # words of one document in a training sequence
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
             [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
             names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(lambda batches: in_blocks(batches, work), schema)
+    return docs.mapInArrow(lambda batches: in_blocks(batches, work, size=BLOCK), schema)
 
 
 def identify(docs: DataFrame, sample: int = 1500) -> DataFrame:
