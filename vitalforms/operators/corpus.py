@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalforms.catalog.fields import LICENCE_DEFAULTS, STORED
 from vitalforms.functions.patterns import CITIZENSHIPS, MONTHS
 from vitalforms.functions.text import strip
 from vitalforms.operators.ranking import (
@@ -150,60 +152,31 @@ def repair_annotations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- generated examples ----------------------------------------------------
 
-# Small pools for generated field values.
-SEXES = ("Male", "Female")
-CIVIL = ("Single", "Married", "Widowed", "Legally Separated")
-BELIEFS = ("Roman Catholic", "Catholic", "Islam", "Muslim", "Iglesia ni Cristo", "INC", "Baptist",
-           "Methodist", "Seventh Day Adventist", "Born Again Christian", "Aglipayan")
-CAUSES = ("Pneumonia", "Septicemia", "Renal Failure", "Diabetes Mellitus",
-          "Acute Myocardial Infarction", "Cerebrovascular Accident", "Liver Cirrhosis")
-JOBS = ("Farmer", "Teacher", "Engineer", "Nurse", "Laborer", "Driver", "Carpenter", "Vendor")
-
-# Generated fields per form; each names its kind of value.
-GENERATED_FIELDS = {
-    "form1a": (("province", "province"), ("registry_no", "registry"), ("city_municipality", "city"),
-               ("child_first_name", "first"), ("child_middle_name", "last"), ("child_last_name", "last"),
-               ("sex", "sex"), ("dob_day", "day"), ("dob_month", "month"), ("dob_year", "year"),
-               ("place_birth_hospital", "hospital"), ("place_birth_city", "city"),
-               ("place_birth_province", "province"), ("weight_at_birth", "weight"),
-               ("type_of_birth", "birth_type"), ("mother_first_name", "first"),
-               ("mother_middle_name", "last"), ("mother_last_name", "last"),
-               ("mother_citizenship", "citizenship"), ("mother_religion", "religion"),
-               ("mother_occupation", "occupation"), ("mother_age_at_birth", "parent_age"),
-               ("father_first_name", "first"), ("father_middle_name", "last"),
-               ("father_last_name", "last"), ("father_citizenship", "citizenship"),
-               ("father_religion", "religion"), ("father_occupation", "occupation"),
-               ("father_age_at_birth", "parent_age"), ("parents_marriage_month", "month"),
-               ("parents_marriage_day", "day"), ("parents_marriage_year", "year"),
-               ("parents_marriage_city", "city"), ("informant_name", "full_name"),
-               ("informant_address", "address"), ("informant_date", "date")),
-    "form2a": (("province", "province"), ("registry_no", "registry"), ("city_municipality", "city"),
-               ("deceased_first_name", "first"), ("deceased_middle_name", "last"),
-               ("deceased_last_name", "last"), ("sex", "sex"), ("religion", "religion"),
-               ("age_years", "age"), ("place_death_full", "place"), ("dod_day", "day"),
-               ("dod_month", "month"), ("dod_year", "year"), ("citizenship", "citizenship"),
-               ("residence_full", "address"), ("civil_status", "civil"), ("occupation", "occupation"),
-               ("cause_immediate", "cause"), ("cause_antecedent", "cause"),
-               ("cause_underlying", "cause"), ("cause_other", "cause"),
-               ("informant_name", "full_name"), ("informant_address", "address"),
-               ("informant_date", "date")),
-    "form3a": (("province", "province"), ("city_municipality", "city"), ("registry_no", "registry"))
-              + tuple((f"{r}_{f}", k) for r in ("husband", "wife") for f, k in (
-                  ("first_name", "first"), ("middle_name", "last"), ("last_name", "last"),
-                  ("dob_day", "day"), ("dob_month", "month"), ("dob_year", "year"), ("age", "age"),
-                  ("place_birth_city", "city"), ("place_birth_province", "province"),
-                  ("citizenship", "citizenship"), ("religion", "religion"), ("civil_status", "civil"),
-                  ("father_first", "first"), ("father_last", "last"),
-                  ("mother_first", "first"), ("mother_last", "last")))
-              + (("place_marriage_city", "city"), ("place_marriage_province", "province"),
-                 ("date_marriage_day", "day"), ("date_marriage_month", "month"),
-                 ("date_marriage_year", "year")),
-    "form90": (("province", "province"), ("city_municipality", "city"), ("registry_no", "registry"))
-              + tuple((f"{r}_{f}", k) for r in ("husband", "wife") for f, k in (
-                  ("first_name", "first"), ("middle_name", "last"), ("last_name", "last"),
-                  ("age", "age"), ("citizenship", "citizenship"), ("residence", "address")))
-              + (("application_date", "date"),),
-}
+# Own pools of generated values.
+SEXES = ("Female", "Male")
+CIVIL = ("Single", "Married", "Annulled")
+CAUSES = ("Stroke", "Dengue Fever", "Drowning", "Asthma", "Burns")
+STREETS = ("Mabuhay Lane", "Harbour Road", "Old Mill Street")
+
+# Own rule: the first ending that a stored field's name has gives the kind of its value.
+KIND_BY_ENDING = (
+    ("registry_no", "registry"), ("license_no", "registry"), ("first", "first"), ("middle", "last"), ("last", "last"),
+    ("day", "day"), ("month", "month"), ("year", "year"), ("hospital", "venue"), ("venue", "venue"),
+    ("municipality", "city"), ("city", "city"), ("province", "province"), ("citizenship", "citizenship"),
+    ("civil_status", "civil"), ("sex", "sex"), ("age", "age"), ("age_years", "age"), ("date_issuance", "date"),
+    ("date_submitted", "date"), ("prepared_by", "full_name"), ("immediate", "cause"), ("antecedent", "cause"),
+    ("underlying", "cause"), ("residence", "address"),
+)
+
+
+def _kind(field: str) -> str:
+    return next(kind for ending, kind in KIND_BY_ENDING if field.endswith(ending))
+
+
+# Generated fields per form: what the form stores, each with the kind of its value.
+GENERATED_FIELDS = {form: tuple((field, _kind(field)) for field in names) for form, names in {
+    "1A": STORED["1A"], "2A": STORED["2A"], "3A": STORED["3A"],
+    "90": (*LICENCE_DEFAULTS, "groom_residence", "bride_residence")}.items()}
 
 
 def draw(key: Column, salt: str, n: int) -> Column:
@@ -220,113 +193,96 @@ def pick(key: Column, salt: str, pool: Sequence[str]) -> Column:
 def generated_value(kind: str, salt: str, key: Column, first: Column, last: Column,
                     city: Column, province: Column) -> Column:
     """Value of one kind; names and places come from the row's own columns."""
-    def num(purpose: str, low: int, high: int) -> Column:
-        return draw(key, salt + purpose, high - low + 1) + low
-
-    text = "string"
-    return {
-        "province": lambda: province,
-        "city": lambda: city,
-        "hospital": lambda: F.concat(F.lit("Ospital ng "), city),
-        "place": lambda: F.concat(city, F.lit(", "), province),
-        "address": lambda: F.concat(num("n", 1, 999).cast(text), F.lit(" Rizal Ave., "), city),
-        "first": lambda: first,
-        "last": lambda: last,
-        "full_name": lambda: F.concat_ws(" ", first, last),
-        "registry": lambda: F.concat(num("y", 2000, 2024).cast(text), F.lit("-"),
-                                     F.lpad(num("s", 1, 9999).cast(text), 4, "0")),
-        "sex": lambda: pick(key, salt, SEXES),
-        "day": lambda: num("", 1, 28).cast(text),
-        "month": lambda: pick(key, salt, MONTHS),
-        "year": lambda: num("", 1930, 2024).cast(text),
-        "date": lambda: F.concat_ws("/", F.lpad(num("m", 1, 12).cast(text), 2, "0"),
-                                    F.lpad(num("d", 1, 28).cast(text), 2, "0"),
-                                    num("y", 1930, 2024).cast(text)),
-        "age": lambda: num("", 1, 95).cast(text),
-        "parent_age": lambda: num("", 16, 55).cast(text),
-        "weight": lambda: F.concat(num("", 1500, 4500).cast(text), F.lit(" grams")),
-        "birth_type": lambda: pick(key, salt, ("Single", "Twin", "Triplet")),
-        "civil": lambda: pick(key, salt, CIVIL),
-        "citizenship": lambda: pick(key, salt, CITIZENSHIPS),
-        "religion": lambda: pick(key, salt, BELIEFS),
-        "occupation": lambda: pick(key, salt, JOBS),
-        "cause": lambda: pick(key, salt, CAUSES),
-    }[kind]()
-
-
-def generate_field_values(seeds: DataFrame, form: str) -> DataFrame:
-    """(seed_id, form, field, text) for every field of a form and every seed.
+    def number(purpose: str, low: int, count: int, width: int = 0) -> Column:
+        text = (draw(key, salt + purpose, count) + low).cast("string")
+        return F.lpad(text, width, "0") if width else text
+
+    pools = {"sex": SEXES, "civil": CIVIL, "cause": CAUSES, "month": MONTHS, "citizenship": CITIZENSHIPS}
+    columns = {"first": first, "last": last, "city": city, "province": province}
+    if kind in pools:
+        return pick(key, salt, pools[kind])
+    if kind in columns:
+        return columns[kind]
+    if kind == "full_name":
+        return F.concat_ws(" ", first, last)
+    if kind == "venue":
+        return F.concat(city, F.lit(" Hall "), number("", 1, 7))
+    if kind == "address":
+        return F.concat_ws(", ", F.concat_ws(" ", number("", 1, 250), pick(key, salt + "street", STREETS)), city, province)
+    if kind == "registry":
+        return F.concat(number("year", 1985, 40), F.lit("-"), number("serial", 100, 89_900, 5))
+    if kind == "date":
+        return F.concat_ws("-", number("year", 1985, 40), number("month", 1, 12, 2), number("day", 1, 31, 2))
+    low, count = {"day": (1, 31), "year": (1985, 40), "age": (0, 105)}[kind]
+    return number("", low, count)
+
+
+def generate_field_values(seeds: DataFrame, form: str, samples: int = 1, val_percent: int = 10) -> DataFrame:
+    """(seed_id, form, sample, field, text, split): ``samples`` values of every field of a form per seed.
 
     ``seeds`` has (seed_id, first_name, last_name, city, province); values
-    depend on the seed only, so a lost task gives the same rows again.
-    Blank values are left out.
+    and the split depend on seed, sample and field only, so a lost task gives
+    the same rows again.  About ``val_percent`` of the rows are ``val``, the
+    rest ``train``.  Blank values are left out.
     """
-    key = F.col("seed_id")
-    pairs = F.array(*[F.struct(
+    drawn = seeds.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    key = F.concat_ws(".", F.col("seed_id").cast("string"), F.col("sample").cast("string"))
+    values = F.array(*[F.struct(
         F.lit(field).alias("field"),
         generated_value(kind, field, key, F.col("first_name"), F.col("last_name"),
-                        F.col("city"), F.col("province")).alias("text"))
+                        F.col("city"), F.col("province")).alias("text"),
+        F.when(draw(key, field + "split", 100) < val_percent, "val").otherwise("train").alias("split"))
         for field, kind in GENERATED_FIELDS[form]])
-    return (seeds.select("seed_id", F.lit(form).alias("form"), F.inline_outer(pairs))
+    return (drawn.select("seed_id", F.lit(form).alias("form"), "sample", F.inline_outer(values))
             .filter(strip(F.coalesce("text", F.lit(""))) != ""))
 
 
-# Sentence patterns of the labelled text generator.
+# Own sentences of the labelled text generator, five per class.
 TEXT_PATTERNS = {
     "form102": (
-        "Municipal Form No. 102 Certificate of Live Birth Name of child {a} Date of birth {d} "
-        "Place of birth {p} Name of mother {b} Sex {s} birth certificate infant",
-        "Municipal Form No.102 Certificate of Live Birth child {a} born {d} at {p} mother {b}",
-        "Certificate of Live Birth newborn {a} attendant at birth {b} place of birth {p} {d}",
+        "Form 102: {a}, {s}, came into the world on {d}. The baby was delivered in {p}.",
+        "We register the live birth of {a} in {p}; {b} is the parent who reported the newborn on {d}.",
+        "Newborn record, {p}. Baby: {a}. Delivered {d}. Midwife on duty: {b}.",
+        "{b} gave birth to a {s} baby, {a}, on {d}; live birth entered in the register of {p}.",
+        "Birth entry {d}: infant {a}, {s}, delivered in {p}, midwife {b}.",
     ),
     "form103": (
-        "Municipal Form No. 103 Certificate of Death Name of deceased {a} Date of death {d} "
-        "Place of death {p} Cause of death {c} informant {b} burial",
-        "Municipal Form No.103 Certificate of Death deceased {a} died {d} cause {c} interment",
-        "death certificate of {a} immediate cause {c} place of death {p} burial permit {d}",
+        "Form 103: {a} passed away on {d}. The physician gives {c} as the reason of death.",
+        "We register the death of {a} in {p}; {b} claimed the remains on {d}.",
+        "Death record, {p}. Deceased: {a}. Physician found {c}. Burial {d}.",
+        "The remains of {a} were released to {b} for burial on {d} after death from {c}.",
+        "Death entry {d}: {a} deceased in {p}, physician {b}, {c}.",
     ),
     "form97": (
-        "Municipal Form No. 97 Certificate of Marriage Name of husband {a} Name of wife {b} "
-        "Date of marriage {d} Place of marriage {p} solemnizing officer witnesses",
-        "Municipal Form No.97 Certificate of Marriage husband {a} wife {b} married {d} "
-        "contracting parties",
-        "marriage certificate {a} and {b} solemnized {d} at {p} witnesses nuptial wed",
+        "Form 97: {a} and {b} exchanged vows on {d}. The wedding took place in {p}.",
+        "We register the marriage of {a} with {b}, celebrated in {p} on {d}.",
+        "Marriage record, {p}. Groom: {a}. Bride: {b}. Wedding day {d}.",
+        "Bride {b} and groom {a} signed the marriage contract in {p} on {d}.",
+        "Marriage entry {d}: spouses {a} and {b}, wedding in {p}.",
     ),
 }
 
 
 def generate_labelled_texts(seeds: DataFrame) -> DataFrame:
-    """(seed_id, label, text): one text per class and seed from a drawn pattern."""
+    """(seed_id, label, text): one text per class and seed from a drawn sentence."""
     key = F.col("seed_id")
-
-    def full(first: str, last: str) -> Column:
-        return F.concat_ws(" ", first, last)
-
     slots = {
-        "a": full("first_name", "last_name"), "b": full("last_name", "first_name"),
+        "a": F.concat_ws(" ", "first_name", "last_name"), "b": F.concat_ws(" ", "last_name", "first_name"),
         "d": generated_value("date", "text", key, F.lit(""), F.lit(""), F.lit(""), F.lit("")),
         "p": F.concat_ws(", ", "city", "province"),
         "s": pick(key, "text-sex", SEXES), "c": pick(key, "text-cause", CAUSES),
     }
 
     def written(pattern: str) -> Column:
-        parts = []
-        for chunk in pattern.split("{"):
-            if len(chunk) > 1 and chunk[1] == "}":
-                parts.append(slots[chunk[0]])
-                chunk = chunk[2:]
-            if chunk:
-                parts.append(F.lit(chunk))
+        parts = [F.lit(plain) if slot is None else slots[slot]
+                 for literal, name, *_ in Formatter().parse(pattern)
+                 for plain, slot in ((literal, None), ("", name)) if plain or slot]
         return F.concat(*parts)
 
-    rows = []
-    for label, options in TEXT_PATTERNS.items():
-        which = draw(key, label, len(options))
-        expr = F
-        for i, option in enumerate(options[:-1]):
-            expr = expr.when(which == i, written(option))
-        rows.append(F.struct(F.lit(label).alias("label"), expr.otherwise(written(options[-1])).alias("text")))
-    return seeds.select("seed_id", F.inline_outer(F.array(*rows)))
+    texts = F.array(*[F.struct(F.lit(label).alias("label"), F.element_at(
+        F.array(*map(written, options)), (draw(key, label, len(options)) + 1).cast("int")).alias("text"))
+        for label, options in TEXT_PATTERNS.items()])
+    return seeds.select("seed_id", F.inline_outer(texts))
 
 
 def annotated_examples(rendered: DataFrame, key: str, text: str, values: Mapping[str, Column]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalforms.functions import spans as sp
@@ -229,25 +232,58 @@ def _seeds(spark, d):
                       F.col("place_birth_province").alias("province"))
 
 
-def _draw_sql(salt, n):
-    return f"(('0x' || substr(md5(CAST(seed_id AS VARCHAR) || '|{salt}'), 1, 7))::BIGINT % {n})"
+# The stored fields of each form, written out once more for the check.
+_FIELD_NAMES = """names(form, list) AS (VALUES
+  ('1A', 'registry_no city_municipality province date_issuance child_first child_middle child_last sex dob_day dob_month dob_year pob_hospital pob_city pob_province mother_first mother_middle mother_last mother_citizenship mother_age father_first father_middle father_last father_citizenship parents_marriage_day parents_marriage_month parents_marriage_year parents_marriage_city parents_marriage_province date_submitted prepared_by'),
+  ('2A', 'registry_no city_municipality province date_issuance deceased_first deceased_middle deceased_last sex age_years civil_status citizenship dod_day dod_month dod_year pod_hospital pod_city pod_province cause_immediate cause_antecedent cause_underlying date_submitted'),
+  ('3A', 'registry_no city_municipality province date_issuance husband_first husband_middle husband_last husband_age husband_citizenship husband_mother_first husband_mother_last husband_mother_citizenship husband_father_first husband_father_last husband_father_citizenship wife_first wife_middle wife_last wife_age wife_citizenship wife_mother_first wife_mother_last wife_mother_citizenship wife_father_first wife_father_last wife_father_citizenship marriage_day marriage_month marriage_year marriage_venue marriage_city marriage_province date_submitted'),
+  ('90', 'registry_no city_municipality date_issuance license_no marriage_day marriage_month marriage_year marriage_venue marriage_city groom_first groom_middle groom_last groom_age groom_citizenship groom_mother_first groom_mother_last groom_father_first groom_father_last bride_first bride_middle bride_last bride_age bride_citizenship bride_mother_first bride_mother_last bride_father_first bride_father_last groom_residence bride_residence')),
+fields AS (SELECT form, unnest(string_split(list, ' ')) AS field FROM names)"""
+
+
+def _draw_sql(key, salt, n):
+    """A number below ``n`` from the digest of a key and a salt, both SQL."""
+    return f"(('0x' || substr(md5({key} || '|' || {salt}), 1, 7))::BIGINT % {n})"
+
+
+def _number_sql(purpose, low, n):
+    return f"CAST({_draw_sql('key', f'field || {purpose!r}', n)} + {low} AS VARCHAR)"
+
+
+def _pick_sql(entries, purpose=""):
+    return f"([{', '.join(map(repr, entries.split('|')))}])[{_draw_sql('key', f'field || {purpose!r}', entries.count('|') + 1)} + 1]"
 
 
-@query("generated_fields", with_ctes(RAW) + f"""
-, g AS (SELECT doc_id AS seed_id, place_birth_city AS city, child_first_name AS f, child_last_name AS l FROM raw)
-SELECT seed_id, 'sex' AS field, ['Male', 'Female'][{_draw_sql('sex', 2)} + 1] AS text FROM g
-UNION ALL SELECT seed_id, 'dob_day', CAST({_draw_sql('dob_day', 28)} + 1 AS VARCHAR) FROM g
-UNION ALL SELECT seed_id, 'place_birth_hospital', 'Ospital ng ' || city FROM g
-UNION ALL SELECT seed_id, 'registry_no', CAST({_draw_sql('registry_noy', 25)} + 2000 AS VARCHAR) || '-' || lpad(CAST({_draw_sql('registry_nos', 9999)} + 1 AS VARCHAR), 4, '0') FROM g
-UNION ALL SELECT seed_id, 'informant_name', f || ' ' || l FROM g""")
+_MONTH_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
+_NATIONS = "Filipino|American|Chinese|Japanese|Korean|Spanish|British|Australian|Canadian|Indian|Stateless"
+_GENERATED_VALUE = f"""CASE WHEN regexp_matches(field, '(registry|license)_no$') THEN {_number_sql('year', 1985, 40)} || '-' || lpad({_number_sql('serial', 100, 89900)}, 5, '0')
+  WHEN regexp_matches(field, 'first$') THEN first_name WHEN regexp_matches(field, '(middle|last)$') THEN last_name
+  WHEN regexp_matches(field, 'day$') THEN {_number_sql('', 1, 31)} WHEN regexp_matches(field, 'year$') THEN {_number_sql('', 1985, 40)}
+  WHEN regexp_matches(field, 'month$') THEN {_pick_sql(_MONTH_NAMES)} WHEN regexp_matches(field, '(hospital|venue)$') THEN city || ' Hall ' || {_number_sql('', 1, 7)}
+  WHEN regexp_matches(field, '(city|municipality)$') THEN city WHEN regexp_matches(field, 'province$') THEN province
+  WHEN regexp_matches(field, 'citizenship$') THEN {_pick_sql(_NATIONS)} WHEN field = 'civil_status' THEN {_pick_sql('Single|Married|Annulled')}
+  WHEN field = 'sex' THEN {_pick_sql('Female|Male')} WHEN regexp_matches(field, '_?age(_years)?$') THEN {_number_sql('', 0, 105)}
+  WHEN regexp_matches(field, '^date_') THEN {_number_sql('year', 1985, 40)} || '-' || lpad({_number_sql('month', 1, 12)}, 2, '0') || '-' || lpad({_number_sql('day', 1, 31)}, 2, '0')
+  WHEN field = 'prepared_by' THEN first_name || ' ' || last_name WHEN regexp_matches(field, '^cause_') THEN {_pick_sql('Stroke|Dengue Fever|Drowning|Asthma|Burns')}
+  WHEN regexp_matches(field, 'residence$') THEN {_number_sql('', 1, 250)} || ' ' || {_pick_sql('Mabuhay Lane|Harbour Road|Old Mill Street', 'street')} || ', ' || city || ', ' || province END"""
+
+
+@query("generated_fields", with_ctes(_FIELD_NAMES) + f"""
+, g AS (SELECT c_custkey AS seed_id, c_name AS first_name, c_mktsegment AS last_name, r_name AS city, n_name AS province
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+k AS (SELECT *, seed_id || '.' || sample AS key FROM g, (VALUES (1), (2)) v(sample), fields)
+SELECT seed_id, form, sample, field, {_GENERATED_VALUE} AS text, CASE WHEN {_draw_sql('key', "field || 'split'", 100)} < 10 THEN 'val' ELSE 'train' END AS split
+FROM k""")
 def generated_fields(spark, d):
-    rows = corpus.generate_field_values(_seeds(spark, d), "form1a")
-    return rows.filter(F.col("field").isin("sex", "dob_day", "place_birth_hospital", "registry_no", "informant_name")
-                       ).select("seed_id", "field", "text")
+    """Every field of every form, two samples per customer."""
+    nations = t.read(spark, d, "nation").join(t.read(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    seeds = t.read(spark, d, "customer").join(nations, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "c_custkey AS seed_id", "c_name AS first_name", "c_mktsegment AS last_name", "r_name AS city", "n_name AS province")
+    return functools.reduce(DataFrame.unionByName, [corpus.generate_field_values(seeds, f, 2) for f in corpus.GENERATED_FIELDS])
 
 
 @query("generated_field_counts", """
-SELECT f.form, f.n * (SELECT count(*) FROM orders) AS rows FROM (VALUES ('form1a', 36), ('form2a', 24), ('form3a', 40), ('form90', 16)) f(form, n)""")
+SELECT f.form, f.n * (SELECT count(*) FROM orders) AS rows FROM (VALUES ('1A', 30), ('2A', 21), ('3A', 33), ('90', 29)) f(form, n)""")
 def generated_field_counts(spark, d):
     seeds = _seeds(spark, d)
     out = None
@@ -257,7 +293,28 @@ def generated_field_counts(spark, d):
     return out
 
 
-@query("generated_texts")
+def _texts_sql():
+    """The sentences of each class with their slots replaced, chosen by the same draw."""
+    slots = {"{a}": "first_name || ' ' || last_name", "{b}": "last_name || ' ' || first_name", "{p}": "city || ', ' || province",
+             "{d}": "day", "{s}": "sex", "{c}": "cause"}
+    arms = []
+    for label, options in corpus.TEXT_PATTERNS.items():
+        chosen = f"([{', '.join(repr(o) for o in options)}])[{_draw_sql('CAST(seed_id AS VARCHAR)', repr(label), len(options))} + 1]"
+        for slot, value in slots.items():
+            chosen = f"replace({chosen}, '{slot}', {value})"
+        arms.append(f"SELECT seed_id, '{label}' AS label, {chosen} AS text FROM s")
+    return " UNION ALL ".join(arms)
+
+
+def _seed_draw(salt, n):
+    return _draw_sql("CAST(seed_id AS VARCHAR)", repr(salt), n)
+
+
+@query("generated_texts", with_ctes(RAW) + f"""
+, g AS (SELECT doc_id AS seed_id, child_first_name AS first_name, child_last_name AS last_name, place_birth_city AS city, place_birth_province AS province FROM raw),
+s AS (SELECT *, ({_seed_draw('textyear', 40)} + 1985) || '-' || lpad(CAST({_seed_draw('textmonth', 12)} + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST({_seed_draw('textday', 31)} + 1 AS VARCHAR), 2, '0') AS day,
+  (['Female', 'Male'])[{_seed_draw('text-sex', 2)} + 1] AS sex, (['Stroke', 'Dengue Fever', 'Drowning', 'Asthma', 'Burns'])[{_seed_draw('text-cause', 5)} + 1] AS cause FROM g)
+""" + _texts_sql())
 def generated_texts(spark, d):
     return corpus.generate_labelled_texts(_seeds(spark, d))
 
