@@ -88,3 +88,9 @@ def test_stream_counts_match_batch(spark, tmp_path):
     got = {(r.window_start.date(), r.event_type): r.n for r in QUERIES["stream_window"](spark, SF).collect()}
     ev = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.to_date("ts").alias("d"), "event_type").count().collect()
     assert got == {(r.d, r.event_type): r["count"] for r in ev}
+
+
+def test_nested_name_file_repeats_last_names_as_middle_names(spark, tmp_path):
+    (tmp_path / "names.json").write_text('{"first_names": {"all": ["Ada", "Bo"]},\n "last_names": ["Cruz"]}')
+    got = sorted(tuple(r) for r in annotations.read_name_pools(spark, str(tmp_path / "names.json")).collect())
+    assert got == [("first", "Ada"), ("first", "Bo"), ("last", "Cruz"), ("middle", "Cruz")]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalforms.operators import corpus, history, sequences
-from vitalforms.operators.scan import running
+from vitalforms.operators.scan import running, with_segment
 
 
 @pytest.fixture(scope="module")
@@ -58,12 +58,12 @@ def test_first_seen_rank(skewed):
     assert got == {g: i for i, g in enumerate(dict.fromkeys(r[1] for r in rows), start=1)}
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_running_values_do_not_depend_on_segments(skewed, hot_rows):
+@pytest.mark.parametrize("segment_rows", [100, 10_000])
+def test_running_values_do_not_depend_on_segments(skewed, segment_rows):
     df, rows = skewed
     got = {r.pos: r for r in running(df, ["grp"], "pos", {
         "total": ("sum", F.col("idx")), "low": ("min", F.col("loss")), "prev": ("lag", F.col("idx"))},
-        hot_rows=hot_rows).collect()}
+        segment_rows=segment_rows).collect()}
     seen = {}
     for pos, g, idx, loss in rows:
         total, low, prev = seen.get(g, (0, 9.0, None))
@@ -71,11 +71,11 @@ def test_running_values_do_not_depend_on_segments(skewed, hot_rows):
         assert (got[pos].total, got[pos].low, got[pos].prev) == (total + idx, min(low, loss), prev)
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_decode_greedy(skewed, hot_rows):
+@pytest.mark.parametrize("segment_rows", [100, 10_000])
+def test_decode_greedy(skewed, segment_rows):
     df, rows = skewed
     step = df.withColumn("sym", F.when(F.col("idx") > 0, F.col("idx") + 40).otherwise(0))
-    got = {r.grp: r.text for r in sequences.decode_greedy(step, "grp", "pos", "sym", hot_rows).collect()}
+    got = {r.grp: r.text for r in sequences.decode_greedy(step, "grp", "pos", "sym", segment_rows).collect()}
     for g in {r[1] for r in rows}:
         out, prev = "", None
         for r in rows:
@@ -87,10 +87,10 @@ def test_decode_greedy(skewed, hot_rows):
         assert got[g] == out
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_best_so_far(skewed, hot_rows):
+@pytest.mark.parametrize("segment_rows", [100, 10_000])
+def test_best_so_far(skewed, segment_rows):
     df, rows = skewed
-    got = {r.pos: r.is_best for r in history.best_so_far(df, ["grp"], "pos", "loss", hot_rows=hot_rows).collect()}
+    got = {r.pos: r.is_best for r in history.best_so_far(df, ["grp"], "pos", "loss", segment_rows=segment_rows).collect()}
     best = {}
     for pos, g, _, loss in rows:
         assert got[pos] == (loss < best.get(g, 9.0))
@@ -103,3 +103,22 @@ def test_early_stopping_example(spark):
                                "run string, epoch int, loss double")
     got = {r.run: tuple(r)[1:] for r in history.early_stopping(df, "run", "epoch", "loss", patience=3).collect()}
     assert got == {"r": (0.84, True, 7), "s": (0.4, False, None)}
+
+
+@pytest.mark.parametrize("order", ["pos", "day", "name", "at"])
+def test_segments_of_a_burst_stay_balanced(spark, order):
+    """Nearly all rows of a group lie in a short stretch of its order column."""
+    rows = spark.range(4000).selectExpr(
+        "CAST(NULL AS STRING) AS grp", "IF(id < 10, id * 1000000, 9000000 + id) AS pos", "id")
+    rows = rows.selectExpr("*", "date_add(DATE'1900-01-01', CAST(IF(id < 10, id, 30000 + id) AS INT)) AS day",
+                           "lpad(CAST(pos AS STRING), 7, '0') AS name", "timestamp_seconds(pos) AS at")
+    sizes = [r["count"] for r in with_segment(rows, ["grp"], order, 500).groupBy("_seg").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 750
+    got = running(rows, ["grp"], order, {"n": ("sum", F.lit(1)), "before": ("lag", F.col("id"))}, segment_rows=500)
+    assert got.filter("n <> id + 1 OR NOT (before <=> IF(id = 0, NULL, id - 1))").isEmpty() and got.count() == 4000
+
+
+def test_rows_without_an_order_value_come_first(spark):
+    rows = spark.createDataFrame([("g", None, 5), ("g", 1, 1), ("g", 2, 1), ("g", 3, 1)], "grp string, pos int, v int")
+    got = running(rows, ["grp"], "pos", {"total": ("sum", F.col("v"))}, segment_rows=1)
+    assert {r.pos: r.total for r in got.collect()} == {None: 5, 1: 6, 2: 7, 3: 8}

@@ -8,23 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalforms.functions.text import safe_ratio
-from vitalforms.operators.scan import HOT_ROWS, running
+from vitalforms.operators.scan import SEGMENT_ROWS, running
 
 
 def running_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, weight: str,
-                 tie: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+                 tie: Sequence[str] = (), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Weighted mean of each row and the rows before it."""
     out = running(df, keys, order, {
         "_sum": ("sum", F.col(value) * F.col(weight)), "_n": ("sum", F.col(weight))},
-        tie=tie, hot_rows=hot_rows)
+        tie=tie, segment_rows=segment_rows)
     return out.withColumn("mean", safe_ratio(F.col("_sum"), F.col("_n"))).drop("_sum", "_n")
 
 
 def best_so_far(df: DataFrame, keys: Sequence[str], order: str, loss: str,
-                tie: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+                tie: Sequence[str] = (), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Mark rows whose loss is strictly below all earlier ones."""
     out = running(df, keys, order, {"_best": ("min", F.col(loss))}, inclusive=False,
-                  tie=tie, hot_rows=hot_rows)
+                  tie=tie, segment_rows=segment_rows)
     return out.withColumn("is_best", F.col("_best").isNull() | (F.col(loss) < F.col("_best"))).drop("_best")
 
 

@@ -42,11 +42,11 @@ def with_position_bucket(df: DataFrame, order: str, buckets: int = 4096) -> Data
     return Bucketizer(splits=splits, inputCol="_p", outputCol=_BUCKET).transform(keyed).drop("_p")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -65,7 +65,7 @@ def _bucket_offsets(df: DataFrame, group: Sequence[str]) -> DataFrame:
 def ranked(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (),
            out: str = "rank") -> DataFrame:
     """Rank from 1 of every row of a bucketed table, within its group."""
-    joined = _null_safe(df, _bucket_offsets(df, group), [*group, _BUCKET])
+    joined = null_safe_join(df, _bucket_offsets(df, group), [*group, _BUCKET])
     w = Window.partitionBy(*group, _BUCKET).orderBy(*order)
     return (joined.withColumn(out, F.row_number().over(w) + F.col("_before"))
             .drop(_BUCKET, "_in", "_before", "_total"))
@@ -84,7 +84,7 @@ def flag_first(df: DataFrame, order: str, size: Column, group: Sequence[str] = (
     offsets = _bucket_offsets(keys, group).withColumn("_k", size.cast("long") - F.col("_before"))
     edge = offsets.filter((F.col("_k") >= 1) & (F.col("_k") <= F.col("_in"))).select(
         *group, _BUCKET, "_k")
-    near = _null_safe(keys, edge, [*group, _BUCKET])
+    near = null_safe_join(keys, edge, [*group, _BUCKET])
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
     cut = (near.withColumn("_n", F.row_number().over(w))
            .filter(F.col("_n") == F.col("_k"))
@@ -92,7 +92,7 @@ def flag_first(df: DataFrame, order: str, size: Column, group: Sequence[str] = (
     every = offsets.groupBy(*group).agg(
         (F.max(size.cast("long")) >= F.max("_total")).alias("_all"))
     if group:
-        joined = _null_safe(df, _null_safe(every, cut, group, "left"), group, "left")
+        joined = null_safe_join(df, null_safe_join(every, cut, group, "left"), group, "left")
     else:
         joined = df.withColumns({"_cut": cut.scalar(), "_all": every.scalar()})
     return (joined.withColumn(out, F.coalesce(

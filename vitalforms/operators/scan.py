@@ -1,4 +1,4 @@
-"""Running values over ordered groups, with large groups cut into segments."""
+"""Running values over ordered groups, cut into segments."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_ROWS = 5_000_000
+from vitalforms.operators.ranking import null_safe_join
+
+SEGMENT_ROWS = 1_000_000
+QUANTILES = 1024
 _SEG = "_seg"
 
 _MERGE = {
@@ -18,40 +22,50 @@ _MERGE = {
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def with_segment(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_seg``: 0 for ordinary groups, an order range for hot ones.
+def position(df: DataFrame, order: str) -> Column:
+    """A number that never falls where the order column rises (a text's first bytes)."""
+    kind, col = df.schema[order].dataType, F.col(order)
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return col.cast("double")
+
+
+def with_segment(df: DataFrame, keys: Sequence[str], order: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Add ``_seg``: the range of the order column a row lies in, within its group.
 
-    A group above ``hot_rows`` is cut into equal ranges of its order column,
-    enough of them to keep each near a quarter of ``hot_rows``.
+    Every group is cut at quantiles of its order column into as many ranges
+    as hold ``segment_rows`` rows, at most QUANTILES; a burst of rows in a
+    short stretch is cut as finely as its rows demand.  Rows of one order
+    value stay together, and rows without one come first.
     """
-    pos = F.col(order).cast("double")
-    size = F.count(F.lit(1))
-    hot = (df.groupBy(*keys)
-           .agg(size.alias("_rows"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-           .filter((F.col("_rows") > hot_rows) & (F.col("_hi") > F.col("_lo")))
-           .select(*keys, "_lo", "_hi",
-                   F.ceil(F.col("_rows") * 4 / hot_rows).alias("_parts")))
-    share = (pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    seg = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-    return (df.join(hot, list(keys), "left")
-            .withColumn(_SEG, F.coalesce(seg, F.lit(0)).cast("long"))
-            .withColumn("_hot", F.col("_parts").isNotNull())
-            .drop("_lo", "_hi", "_parts"))
+    pos = position(df, order)
+    points = F.percentile_approx(pos, [i / QUANTILES for i in range(1, QUANTILES)], 4 * QUANTILES)
+    parts = F.least(F.ceil(F.col("_rows") / segment_rows), F.lit(QUANTILES)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_points", F.floor(i * QUANTILES / parts).cast("int") - 1))
+    bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), points.alias("_points")).select(
+        *keys, F.when(parts > 1, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>")).alias("_bounds"))
+    joined = null_safe_join(df, bounds, keys)
+    below = F.filter("_bounds", lambda b: b <= pos)
+    return joined.withColumn(_SEG, F.when(pos.isNull(), 0).otherwise(F.size(below)).cast("long")).drop("_bounds")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str,
             values: Mapping[str, tuple[str, Column]], inclusive: bool = True,
-            tie: Sequence[str] = (), hot_rows: int = HOT_ROWS,
+            tie: Sequence[str] = (), segment_rows: int = SEGMENT_ROWS,
             keep_segment: bool = False) -> DataFrame:
     """Running aggregates of each group in order.
 
     ``values`` maps an output name to ``(kind, column)`` where kind is sum,
     min, max or lag.  With ``inclusive=False`` the current row is left out.
-    Every segment is scanned on its own; the segment totals of hot groups
-    give each later segment its starting value.
+    Every segment is scanned on its own; the totals of the segments before it
+    give each its starting value.
     """
     inputs = {f"_in_{n}": c for n, (_, c) in values.items()}
-    base = with_segment(df.withColumns(inputs) if inputs else df, keys, order, hot_rows)
+    base = with_segment(df.withColumns(inputs) if inputs else df, keys, order, segment_rows)
     w = Window.partitionBy(*keys, _SEG).orderBy(order, *tie)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
@@ -69,9 +83,9 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
             local[f"_loc_{name}"] = _FOLD[kind](col).over(frame)
             totals.append(_FOLD[kind](col).alias(f"_t_{name}"))
             carries[f"_c_{name}"] = _FOLD[kind](F.col(f"_t_{name}")).over(before)
-    carry = (base.filter("_hot").groupBy(*keys, _SEG).agg(*totals)
+    carry = (base.groupBy(*keys, _SEG).agg(*totals)
              .select(*keys, _SEG, *[c.alias(n) for n, c in carries.items()]))
-    out = base.withColumns(local).join(carry, [*keys, _SEG], "left")
+    out = null_safe_join(base.withColumns(local), carry, [*keys, _SEG])
     final = {}
     for name, (kind, _) in values.items():
         loc, car = F.col(f"_loc_{name}"), F.col(f"_c_{name}")
@@ -80,5 +94,5 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
         else:
             final[name] = _MERGE[kind](loc, car)
     helpers = [c for n in values for c in (f"_in_{n}", f"_loc_{n}", f"_c_{n}")]
-    drop = [*helpers, "_first", "_hot"] + ([] if keep_segment else [_SEG])
+    drop = [*helpers, "_first"] + ([] if keep_segment else [_SEG])
     return out.withColumns(final).drop(*drop)

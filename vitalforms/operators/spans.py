@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from vitalforms.functions import codes
 from vitalforms.functions import spans as sp
 from vitalforms.functions.text import join_words, strip
-from vitalforms.operators.scan import HOT_ROWS, running
+from vitalforms.operators.scan import SEGMENT_ROWS, running
 
 
 def block_offsets(blocks: DataFrame, key: str, order: str, text: str,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Start and end of each block when blocks are joined with one blank."""
     out = running(blocks, [key], order, {"_before": ("sum", F.length(text) + 1)}, inclusive=False,
-                  hot_rows=hot_rows)
+                  segment_rows=segment_rows)
     start = F.coalesce("_before", F.lit(0))
     return (out.withColumn("start", start.cast("long"))
             .withColumn("end", (start + F.length(text)).cast("long")).drop("_before"))

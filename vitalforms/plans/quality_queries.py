@@ -285,7 +285,19 @@ def running_mean(spark, d):
     """Five groups hold everything, so each is scanned in segments."""
     e = t.read(spark, d, "events").selectExpr(
         "event_type", "event_id", "CAST(floor(value) AS BIGINT) AS v", "user_id % 5 + 1 AS w")
-    return history.running_mean(e, ["event_type"], "event_id", "v", "w", hot_rows=100_000).select(
+    return history.running_mean(e, ["event_type"], "event_id", "v", "w", segment_rows=500).select(
+        "event_type", "event_id", "mean")
+
+
+@query("running_mean_by_day", """
+WITH e AS (SELECT event_type, event_id, CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) AS v, user_id % 5 + 1 AS w FROM events)
+SELECT event_type, event_id, CAST(sum(v * w) OVER o AS DOUBLE) / sum(w) OVER o AS mean FROM e
+WINDOW o AS (PARTITION BY event_type ORDER BY day, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_mean_by_day(spark, d):
+    """The same in the order of a date with many ties."""
+    e = t.read(spark, d, "events").selectExpr(
+        "event_type", "event_id", "CAST(ts AS DATE) AS day", "CAST(floor(value) AS BIGINT) AS v", "user_id % 5 + 1 AS w")
+    return history.running_mean(e, ["event_type"], "day", "v", "w", tie=["event_id"], segment_rows=500).select(
         "event_type", "event_id", "mean")
 
 

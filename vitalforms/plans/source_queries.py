@@ -128,11 +128,11 @@ SELECT 'first' AS pool, p_name AS name FROM (SELECT DISTINCT p_name FROM part) U
 SELECT p, c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer), (VALUES ('last'), ('middle')) v(p)""")
 def name_pools(spark, d):
     """A name file without middle names, which then repeat the last names."""
-    firsts = t.read(spark, d, "part").agg(F.struct(F.collect_set("p_name").alias("all")).alias("first_names"))
-    lasts = t.read(spark, d, "customer").agg(F.collect_set("c_mktsegment").alias("last_names"))
+    names = t.read(spark, d, "part").selectExpr("'first' AS pool", "p_name AS name").unionByName(
+        t.read(spark, d, "customer").selectExpr("'last' AS pool", "c_mktsegment AS name")).distinct()
     path = work_dir(spark, "names")
-    firsts.withColumn("last_names", lasts.scalar()).write.json(path)
-    return ann.read_name_pools(spark, path)
+    names.write.json(path)
+    return ann.read_name_lines(spark, path)
 
 
 @query("prediction_rows", """

@@ -112,6 +112,14 @@ def read_name_pools(spark: SparkSession, path: str) -> DataFrame:
     return name_pools(raw)
 
 
+def read_name_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pool, name) rows of name files of any size, one object a line; without a middle pool the last names are one."""
+    names = spark.read.schema("pool string, name string").json(path)
+    middle = names.filter("pool = 'middle'").agg(F.count(F.lit(1))).scalar()
+    again = names.filter("pool = 'last'").filter(middle == 0).select(F.lit("middle").alias("pool"), "name")
+    return names.unionByName(again)
+
+
 def name_pools(raw: DataFrame) -> DataFrame:
     pools = F.array(
         F.struct(F.lit("first").alias("pool"), F.col("first_names.all").alias("names")),
