@@ -92,5 +92,5 @@ def test_stream_counts_match_batch(spark, tmp_path):
 
 def test_nested_name_file_repeats_last_names_as_middle_names(spark, tmp_path):
     (tmp_path / "names.json").write_text('{"first_names": {"all": ["Ada", "Bo"]},\n "last_names": ["Cruz"]}')
-    got = sorted(tuple(r) for r in annotations.read_name_pools(spark, str(tmp_path / "names.json")).collect())
+    got = sorted(tuple(r) for r in ann.read_name_pools(spark, str(tmp_path / "names.json")).collect())
     assert got == [("first", "Ada"), ("first", "Bo"), ("last", "Cruz"), ("middle", "Cruz")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"\b\w\w+\b"
@@ -30,49 +30,45 @@ def terms(text: Column) -> Column:
 
 
 def term_rows(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per term occurrence.
+    """(key, term, tf): one row per different term of a text.
 
-    The outer form of explode keeps the optimizer from tokenising every text
-    a second time just to test that it has terms.
+    A row holds its whole text, so its terms are sorted and counted inside
+    the row and no occurrence is moved.  The outer form of explode keeps the
+    optimizer from tokenising every text a second time just to test that it
+    has terms.
     """
-    return (df.select(key, *extra, F.explode_outer(terms(F.col(text))).alias("term"))
-            .filter("term IS NOT NULL"))
+    listed = df.select(key, *extra, F.array_sort(terms(F.col(text))).alias("_s"))
+    new = F.transform("_s", lambda t, i: F.when((i == 0) | (F.get("_s", i - 1) != t), i))
+    runs = listed.withColumn("_p", F.filter(new, lambda p: p.isNotNull()))
+    counts = F.transform("_p", lambda p, k: F.struct(
+        F.get("_s", p).alias("term"), (F.coalesce(F.get("_p", k + 1), F.size("_s")) - p).alias("tf")))
+    rows = runs.select(key, *extra, F.explode_outer(counts).alias("r")).filter("r IS NOT NULL")
+    return rows.select(key, *extra, "r.term", "r.tf")
 
 
 def vocabulary(documents: DataFrame, text: str = "text", max_features: int | None = None) -> DataFrame:
     """(term, tf_total, df, idf) of all terms, or of the ``max_features`` most
     frequent ones, ties by term.
 
-    idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.  Each
-    text gives its occurrences and its distinct terms, so both counts come
-    from one grouping by term, combined on the map side.
+    idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.  Both
+    counts come from one grouping by term, combined on the map side.
     """
     n = documents.agg(F.count(F.lit(1))).scalar()
-
-    def marked(words: Column, tf: int, df: int) -> Column:
-        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
-
-    listed = documents.select(terms(F.col(text)).alias("_t"))
-    rows = listed.select(F.explode_outer(F.concat(
-        marked(F.col("_t"), 1, 0), marked(F.array_distinct("_t"), 0, 1))).alias("r")).filter("r IS NOT NULL")
-    stats = rows.groupBy(F.col("r.term").alias("term")).agg(
-        F.sum("r.tf").alias("tf_total"), F.sum("r.df").alias("df"))
+    rows = term_rows(documents.select(F.lit(0).alias("_k"), F.col(text).alias("_text")), "_k", "_text")
+    stats = rows.groupBy("term").agg(F.sum("tf").alias("tf_total"), F.count(F.lit(1)).alias("df"))
     top = stats if max_features is None else stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
     return top.select("term", "tf_total", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weighted_terms(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
                    extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, term, x) of the known terms: sub-linear tf times idf.
+    """(key, term, x, and the other columns of ``vocab``) of the known terms: sub-linear tf times idf.
 
-    Unknown terms are dropped before the only shuffle, which goes by key, so
-    that this count and later sums per document meet in one task without
-    another one.  A document's rows come from one text and bound a task's
-    group.
+    The vocabulary is joined by term: where the planner finds it small it is
+    sent to the texts and no term row moves.
     """
-    known = term_rows(df, key, text, extra).join(vocab.select("term", "idf"), "term")
-    counted = known.repartition(key).groupBy(key, *extra, "term", "idf").agg(F.count(F.lit(1)).alias("_tf"))
-    return counted.select(key, *extra, "term", ((1 + F.log("_tf")) * F.col("idf")).alias("x"))
+    known = term_rows(df, key, text, extra).join(vocab, "term")
+    return known.withColumn("x", (1 + F.log("tf")) * F.col("idf")).drop("tf", "idf")
 
 
 @dataclass
@@ -92,8 +88,9 @@ class TextModel:
         """
         wide = self.weights.groupBy("term").agg(
             F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
-        x = weighted_terms(df, self.vocab, key, text)
-        sums = (x.join(wide, "term").select(key, "x", F.explode("_w").alias("label", "_weight"))
+        known = self.vocab.select("term", "idf").join(wide, "term")
+        # sums per document and label are combined in the task that holds the text
+        sums = (weighted_terms(df, known, key, text).select(key, "x", F.explode("_w").alias("label", "_weight"))
                 .groupBy(key, "label").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"),
                                            F.sum(F.col("x") * F.col("x")).alias("_q"))
                 .groupBy(key).agg(F.map_from_entries(F.collect_list(
@@ -129,17 +126,21 @@ def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
         alpha: float = 0.1, max_features: int | None = None) -> TextModel:
     """Fit on (key, text, label) and store the model under ``path``.
 
-    The texts are read twice: once for the vocabulary, which is stored first,
-    and once for the class sums.
+    The texts are read three times: for the vocabulary and the lengths of the
+    documents, which are stored, and for the class sums.  A length meets its
+    text before the terms are taken apart, so term rows are summed where they
+    arise.  ``key`` tells the rows apart.
     """
     spark = df.sparkSession
     vocabulary(df, text, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
-    x = weighted_terms(df, vocab, key, text, (label,))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    unit = x.withColumn("w", F.col("x") / norm)
-    unit.groupBy(F.col(label).cast("string").alias("label"), "term").agg(
-        F.sum("w").alias("w")).write.mode("overwrite").parquet(f"{path}/sums")
+    idf = vocab.select("term", "idf")
+    norms = weighted_terms(df, idf, key, text).groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    norms.write.mode("overwrite").parquet(f"{path}/norms")
+    normed = df.select(key, label, text).join(spark.read.schema(norms.schema).parquet(f"{path}/norms"), key)
+    x = weighted_terms(normed, idf, key, text, (label, "_norm"))
+    x.groupBy(F.col(label).cast("string").alias("label"), "term").agg(
+        F.sum(F.col("x") / F.col("_norm")).alias("w")).write.mode("overwrite").parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums")
     size = vocab.agg(F.count(F.lit(1))).scalar()
     classes = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("_c"))
