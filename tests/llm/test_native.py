@@ -8,7 +8,7 @@ import pytest
 
 from vitalforms.llm import queries
 from vitalforms.llm.mixing import mix_documents, mixture
-from vitalforms.llm.personal_data import redact, spans_by_document
+from vitalforms.llm.personal_data import BASE, GENERATORS, candidates, redact, spans_by_document
 from vitalforms.llm.quality import quality
 from vitalforms.llm.sharding import histogram_shards, write_shards
 
@@ -69,6 +69,23 @@ def test_personal_data_query_and_redaction(spark, folder):
             assert r.text == texts[r.doc_id]
 
 
+def test_personal_data_takes_whole_runs(docs_of):
+    rng = random.Random(4)
+    key = lambda n: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    runs = {"secret": key(512), "number": "12" * 50, "address": "é" * 100 + "@" + "ü" * 100}
+    hard = {"secret": "-" * 100000, "number": "1 " + " " * 100000, "address": "@" + "a" * 100000}
+    found = candidates(docs_of([f"x {t} y" for t in (*runs.values(), *hard.values())])).collect()
+    names = [*BASE, *GENERATORS]
+    spans = {(r.doc_id, names[r.kind], r.start, r.end) for r in found if r.kind is not None}
+    assert all((i, k, 2, 2 + len(t)) in spans for i, (k, t) in enumerate(runs.items()))
+    tokens = [f"{key(40)}-{'4111111111111111'}-{key(40)}" for _ in range(20)]
+    texts = [f'token = "{key(512)}"\n' for _ in range(60)] + [f'token = "{t}"\n' for t in tokens] + ["plain text 7\n"] * 20
+    texts += ["see <me@example.org>, please\n"] * 20
+    rows = redact(docs_of(texts)).orderBy("doc_id").collect()
+    assert all(re.fullmatch(r'token = "\[(SECRET|CARD|NUMBER)\]"\n', r.text) for r in rows[:80])
+    assert {r.text for r in rows[80:]} == {"plain text 7\n", "see <[EMAIL]>, please\n"}
+
+
 def test_shards(docs_of):
     rng = random.Random(2)
     texts = [None, ""] + ["hot" * 20] * 300 + ["x" * rng.randint(0, 200) + str(i) for i in range(600)]
