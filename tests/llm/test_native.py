@@ -86,6 +86,17 @@ def test_personal_data_takes_whole_runs(docs_of):
     assert {r.text for r in rows[80:]} == {"plain text 7\n", "see <[EMAIL]>, please\n"}
 
 
+def test_redaction_without_or_with_repeated_ids(docs_of):
+    texts = ["write to me@example.org", "card 4111 1111 1111 1111", "call +1 (407) 555-7710", "nothing", None, "a@b.example"]
+    docs = docs_of(texts, [None, None, 3, None, None, 3])
+    rows = redact(docs)
+    assert rows.columns == docs.columns
+    rows = rows.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == [
+        (0, ""), (0, "card [CARD]"), (0, "nothing"), (0, "write to [EMAIL]"), (3, "[EMAIL]"), (3, "call [PHONE]")]
+    assert all(r.n_chars == len(r.text or "") and (r.row, r["size"], r.lang) == (7, 9, "en") for r in rows)
+
+
 def test_shards(docs_of):
     rng = random.Random(2)
     texts = [None, ""] + ["hot" * 20] * 300 + ["x" * rng.randint(0, 200) + str(i) for i in range(600)]
