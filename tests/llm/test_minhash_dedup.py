@@ -1,6 +1,6 @@
 import random
 
-from vitalforms.llm.minhash_dedup import deduplicate, near_duplicates
+from vitalforms.llm.minhash_dedup import deduplicate, near_duplicates, shingle_sets
 
 
 def words_of(text):
@@ -55,6 +55,22 @@ def test_components_equal_brute_force(docs_of):
     assert got == brute(list(enumerate(texts)), 3, 85)
 
 
+def test_blocks_of_few_words():
+    for width in (3, 5):
+        for n in range(7):
+            for texts in (["a b c d e f".split()[:n]], [["a"] * (n // 2), ["b"] * (n - n // 2)]):
+                sets = shingle_sets([" ".join(t).encode() for t in texts], width)
+                assert [len(s) for s in sets] == [
+                    len({tuple(t[k:k + width]) for k in range(max(1, len(t) - width + 1))}) if t else 0 for t in texts]
+
+
+def test_short_last_text(docs_of):
+    long = " ".join(f"w{k}" for k in range(300000))
+    assert len(long) > 1_500_000
+    assert sorted(r.doc_id for r in deduplicate(docs_of([long, "two words", "Two words"]).coalesce(1)).collect()) == [0, 1]
+    assert [r.doc_id for r in deduplicate(docs_of(["only three words"])).collect()] == [0]
+
+
 def test_crowded_group_loses_no_link(docs_of):
     # Many variants of one text, alike at less than the threshold, with a few close pairs among them.
     rng = random.Random(8)

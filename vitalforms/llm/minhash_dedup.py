@@ -38,7 +38,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     rows = np.full(len(h), np.uint64(width))
     for k in reversed(range(width)):
         shifted = np.zeros(len(h), np.uint64)
-        shifted[:len(h) - k] = h[k:]
+        shifted[:max(0, len(h) - k)] = h[k:]
         rows = mix(rows * _A + shifted)
     found = []
     for a, b in zip(of_doc[:-1], of_doc[1:]):
