@@ -87,3 +87,12 @@ def test_pages_read_from_nested_folders(spark, tmp_path):
     rows = pages.page_examples(pages.read_pages(spark, str(tmp_path), "training")).collect()
     assert [(r.page_id, r.text) for r in rows] == [("p1", "Name: Lea")]
     assert [tuple(s) for s in rows[0].spans] == [(0, 5, "FORM_QUESTION"), (6, 9, "FORM_OTHER")]
+
+
+def test_different_pages_of_one_name_stay(spark, tmp_path):
+    import json
+    for folder, word in (("a/training/annotations", "one"), ("b/training/annotations", "two"), ("c/training/annotations", "two")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "0001.json").write_text(json.dumps({"form": [{"label": "answer", "words": [{"text": word}], "id": 0}]}))
+    rows = pages.page_examples(pages.read_pages(spark, str(tmp_path), "training")).collect()
+    assert sorted((r.page_id, r.text) for r in rows) == [("a/training/annotations/0001", "one"), ("b/training/annotations/0001", "two")]

@@ -31,12 +31,13 @@ def with_position_bucket(df: DataFrame, order: str, buckets: int = 4096) -> Data
 
     The bounds are at most ``buckets`` numbers, read once and put into the
     plan as literals, so every use of the column sees the same buckets.
+    Rows with a null position are a bucket of their own, which comes last.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
     numeric = df.select(F.col(order).cast("double").alias("_p"))
     bounds = sorted(set(numeric.approxQuantile("_p", probabilities, 0.2 / buckets)))
     if not bounds:
-        return df.withColumn(_BUCKET, F.lit(0.0))
+        return df.withColumn(_BUCKET, F.when(F.col(order).isNotNull(), F.lit(0.0)))
     splits = [float("-inf"), *bounds, float("inf")]
     keyed = df.withColumn("_p", F.col(order).cast("double"))
     return Bucketizer(splits=splits, inputCol="_p", outputCol=_BUCKET).transform(keyed).drop("_p")
@@ -54,7 +55,7 @@ def _bucket_offsets(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, bucket) -> rows before the bucket, rows in it, rows in the group."""
     sizes = df.groupBy(*group, _BUCKET).agg(F.count(F.lit(1)).alias("_in"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = whole.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(F.col(_BUCKET).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
         *group, _BUCKET, "_in",
         F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
@@ -76,13 +77,15 @@ def flag_first(df: DataFrame, order: str, size: Column, group: Sequence[str] = (
     """Mark the first ``size`` rows of each group of a bucketed table.
 
     ``size`` may use the column ``_total`` (rows in the group).  ``order``
-    must be unique within a group.  Only the bucket that holds the cut is
-    sorted; the rows themselves are compared with the cut value and never
-    shuffled.
+    must be unique within a group, nulls aside.  Only the bucket that holds the
+    cut is sorted; the rows themselves are compared with the cut value and never
+    shuffled.  Rows with a null order come last, in the order of their digests;
+    only these are ranked one by one.
     """
     keys = df.select(*group, order, _BUCKET)
     offsets = _bucket_offsets(keys, group).withColumn("_k", size.cast("long") - F.col("_before"))
-    edge = offsets.filter((F.col("_k") >= 1) & (F.col("_k") <= F.col("_in"))).select(
+    known = F.col(_BUCKET).isNotNull()
+    edge = offsets.filter(known & (F.col("_k") >= 1) & (F.col("_k") <= F.col("_in"))).select(
         *group, _BUCKET, "_k")
     near = null_safe_join(keys, edge, [*group, _BUCKET])
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
@@ -90,11 +93,18 @@ def flag_first(df: DataFrame, order: str, size: Column, group: Sequence[str] = (
            .filter(F.col("_n") == F.col("_k"))
            .select(*group, F.col(order).alias("_cut")))
     every = offsets.groupBy(*group).agg(
-        (F.max(size.cast("long")) >= F.max("_total")).alias("_all"))
+        (F.max(size.cast("long")) >= F.max("_total")).alias("_all"),
+        (F.max(size.cast("long")) - F.coalesce(F.sum(F.when(known, F.col("_in"))), F.lit(0))).alias("_left"))
     if group:
         joined = null_safe_join(df, null_safe_join(every, cut, group, "left"), group, "left")
     else:
-        joined = df.withColumns({"_cut": cut.scalar(), "_all": every.scalar()})
-    return (joined.withColumn(out, F.coalesce(
-        F.col("_all") | (F.col(order) <= F.col("_cut")), F.lit(False)))
-        .drop(_BUCKET, "_cut", "_all"))
+        joined = df.withColumns({"_cut": cut.scalar(), "_all": every.select("_all").scalar(), "_left": every.select("_left").scalar()})
+    placed = joined.filter(F.col(order).isNotNull()) if df.schema[order].nullable else joined
+    flagged = placed.withColumn(out, F.coalesce(
+        F.col("_all") | (F.col("_left") >= 0) | (F.col(order) <= F.col("_cut")), F.lit(False)))
+    if df.schema[order].nullable:
+        row = F.md5(F.to_json(F.struct(*[c for c in df.columns if c != _BUCKET])))
+        last = with_digest_bucket(joined.filter(F.col(order).isNull()).withColumn("_row", row), "_row")
+        last = ranked(last, ["_row"], group, "_n").withColumn(out, F.coalesce(F.col("_n") <= F.col("_left"), F.lit(False)))
+        flagged = flagged.unionByName(last.select(*[c for c in flagged.columns if c != _BUCKET]), allowMissingColumns=True)
+    return flagged.drop(_BUCKET, "_cut", "_all", "_left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalforms.operators.spans import examples, page_blocks, word_blocks
@@ -15,16 +17,21 @@ WORD_PAGE = "words array<string>, labels array<int>, bboxes array<array<double>>
 def read_pages(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(page_id, form) of the JSON pages in any ``annotations`` folder of a split.
 
-    The folder may lie at any depth below ``root``; of several copies of a
-    page, one per file name is kept, so a corpus unpacked twice counts once.
+    The folder may lie at any depth below ``root``.  Files of one name and the
+    same content are one page, so a corpus unpacked twice counts once.  The
+    page_id is the file name or, where different pages have that name, the
+    path below ``root``, both without ``.json``.
     """
     files = (spark.read.schema(PAGE).option("multiLine", "true").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.json").json(root)
              .select(F.col("_metadata.file_path").alias("path"), "form"))
     own = files.filter(F.contains("path", F.lit(split)) & F.regexp_like("path", F.lit(r"/annotations/[^/]+$")))
     page = F.regexp_extract("path", r"([^/]+)\.json$", 1)
-    return (own.withColumn("page_id", page).groupBy("page_id")
-            .agg(F.min_by("form", "path").alias("form")))
+    once = own.groupBy(page.alias("_name"), "form").agg(F.min("path").alias("path"))
+    below = F.element_at(F.split("path", "/" + re.escape(root.strip("/")) + "/", 2), -1)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("_name")) == 1
+    page_id = F.when(alone, F.col("_name")).otherwise(F.regexp_replace(below, r"\.json$", ""))
+    return once.select(page_id.alias("page_id"), "form")
 
 
 def page_examples(pages: DataFrame) -> DataFrame:
