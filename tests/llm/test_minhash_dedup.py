@@ -1,6 +1,6 @@
 import random
 
-from vitalforms.llm.minhash_dedup import deduplicate, near_duplicates, shingle_sets
+from vitalforms.llm.minhash_dedup import HALVES, MINIMA, deduplicate, halves_for, near_duplicates, shingle_sets
 
 
 def words_of(text):
@@ -55,6 +55,13 @@ def test_components_equal_brute_force(docs_of):
     assert got == brute(list(enumerate(texts)), 3, 85)
 
 
+def test_halves_follow_the_similarity():
+    assert halves_for(85) == HALVES
+    for percent in (50, 80, 85, 90, 100):
+        missed = lambda m: 1 - (1 - (1 - (percent / 100) ** MINIMA) ** m) ** 2
+        assert missed(halves_for(percent)) < 1e-4
+
+
 def test_blocks_of_few_words():
     for width in (3, 5):
         for n in range(7):

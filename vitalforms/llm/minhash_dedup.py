@@ -3,9 +3,10 @@
 Two small collections of hashes are computed per document: M left halves and
 M right halves of R minima each.  Table (i, j) uses left half i and right half
 j as its key, so M * M tables need only 2 * M * R minima.  Two documents meet
-in some table exactly when they agree in any left and in any right half; with
-M = 8 and R = 2 a pair of similarity 0.85 is missed with probability below
-1e-4.  Every pair that meets is decided on the full shingle sets.
+in some table exactly when they agree in any left and in any right half.  M
+follows from the similarity asked for, so that a pair at it is missed with a
+probability of at most 7.1e-5: with R = 2, M = 8 at 0.85 (7.0e-5) and 11 at 0.8
+(2.6e-5).  Every pair that meets is decided on the full shingle sets.
 
 Inside a bucket documents are compared with its smallest and largest member
 only, never pairwise.  For members of a bucket that still lie in different
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes, staged
 
 HALVES, MINIMA = 8, 2
+MISSED = 7.1e-5  # probability at most of missing a pair at the similarity asked for
 _A = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -54,6 +56,16 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return found
 
 
+def halves_for(percent: int, minima: int = MINIMA) -> int:
+    """The least number of halves on a side that misses a pair at the similarity with probability ``MISSED`` at most."""
+    if percent <= 0:
+        raise ValueError("the similarity must be above 0")
+    apart, halves = 1 - (percent / 100) ** minima, 1
+    while 1 - (1 - apart ** halves) ** 2 > MISSED:
+        halves += 1
+    return halves
+
+
 def _half_keys(sets: list[np.ndarray], halves: int, minima: int) -> np.ndarray:
     """Keys of the left and right halves, one row per (non-empty) set."""
     flat = np.concatenate(sets)
@@ -165,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, halves: int = HALVES,
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, halves: int | None = None,
                     minima: int = MINIMA) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -174,6 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, halves:
     stand for one document and share its result; a null doc_id is never
     linked, has a null component_id and is kept.
     """
+    halves = halves_for(percent, minima) if halves is None else halves
     rows = staged(signatures(docs, width, halves, minima), "signatures")
     identity = ["set_a", "set_b", "n_shingles"]
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
