@@ -1,9 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from vitalforms.llm import queries
-from vitalforms.llm.language import Chain, fit, identify, marginals, predict, word_features
+from vitalforms.llm.language import Chain, fit, identify, marginals, predict, training_rows, word_features
 
 
 def test_held_out_accuracy(spark, folder):
@@ -43,6 +44,17 @@ def test_switch_inside_a_text(spark, folder):
     assert np.all(np.diag(chain.moves)[:, None] >= chain.moves)
 
 
+def test_training_rows_are_shared_among_languages(docs_of):
+    texts = [("the of and " * 50000, "en", "s")] + [(f"the of and {chr(97 + i % 26)} " * 20, "en", "s") for i in range(2400)]
+    texts += [("le la les " * 20, "fr", "s")] * 4 + [("x" * 100000, "xx", "s")] * 8 + [("12 34", "zz", "s")] * 8
+    ids = [i for i in range(20000) if zlib.crc32(str(i).encode()) % 4 != 2][:len(texts)]
+    rows = training_rows(docs_of(texts, ids), 300)
+    assert all(len(word_features([t])[0]) <= 40 and len(t) <= 4000 for t, _ in rows)
+    counts = Counter(lang for _, lang in rows)
+    assert counts["en"] == 100 and counts["fr"] == 8 and counts["xx"] == 8 and "zz" not in counts
+    assert sum(t.decode().split() == "the of and".split() * 13 + ["the"] for t, _ in rows) <= 4
+
+
 def test_edges(docs_of):
     texts = [("the of and " * 20, "en", "s"), ("le la les " * 20, "fr", "s"), (None, "en", "s"), ("", "en", "s"), ("12 34 !!", "fr", "s"),
              ("x", None, "s"), ("the " * 40000, "en", "s")] * 6

@@ -16,16 +16,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes, thinned
+from vitalforms.llm.common import in_blocks, mix, prefix_hashes, range_hashes
 
 UNKNOWN = "und"
 TABLE_BITS = 16
 BLOCK = 500_000  # bytes of text scored at once: several tables of words x languages are held for them
 STRETCH = 40          # words of one document in a training sequence
+STRETCHES = 5000      # of all languages together, what the chain is fitted on
+PER_DOCUMENT = 4      # stretches taken from one document at most
+LONGEST = 4000        # characters of a stretch that reach the driver
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -135,12 +138,31 @@ def fit(texts: list[bytes], languages: list[str], sequences: int = 2500, rounds:
     return chain
 
 
-def training_rows(docs: DataFrame, sample: int) -> list[tuple[bytes, str]]:
-    """At most ``sample`` labelled documents outside the held-out quarter, in an order given by their ids."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
-    rows = thinned(known, sample, "doc_id").select(
-        F.md5(F.col("doc_id").cast("string").cast("binary")).alias("k"), F.col("text").cast("string").alias("text"), "lang")
-    return [(r.text.encode(), r.lang) for r in rows.orderBy("k", "text", "lang").limit(sample).collect()]
+def training_rows(docs: DataFrame, stretches: int = STRETCHES) -> list[tuple[bytes, str]]:
+    """Stretches of at most ``STRETCH`` words from labelled documents outside the held-out quarter, with their languages.
+
+    Each language gives at most ``stretches`` divided by the number of languages (one at least), and each document at
+    most ``PER_DOCUMENT``; both are chosen by hash.  A stretch is cut at ``LONGEST`` characters.
+    """
+    letters = r"A-Za-z\x{80}-\x{10FFFF}"
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(docs)).select(
+        "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where(F.col("text").rlike(f"[{letters}]"))
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    each, whole = max(1, stretches // len(counts)), 1 << 40
+    # twice as many documents as stretches are needed, or all of them, are cut
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (2 * each + 50) / r["count"]) * whole))])
+    few = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole)) < share[F.col("lang")])
+    words = F.trim(F.regexp_replace("text", f"[^{letters}]+", " "))
+    cut = F.regexp_extract_all(words, F.lit(rf"(?:[^\x20]++\x20?+){{1,{STRETCH}}}+"), F.lit(0))
+    drawn = F.slice(F.array_sort(F.transform(cut, lambda s, i: F.struct(
+        F.xxhash64(F.col("doc_id"), i, s).alias("k"), F.substring(s, 1, LONGEST).alias("s")))), 1, PER_DOCUMENT)
+    pieces = few.select("lang", F.explode_outer(drawn).alias("p")).select("lang", "p.k", "p.s").where("s IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "s"))
+    rows = pieces.withColumn("_n", first).where(F.col("_n") <= each).collect()
+    return [(r.s.encode(), r.lang) for r in sorted(rows, key=lambda r: (r.k, r.s, r.lang))]
 
 
 def held_out(docs: DataFrame):
@@ -176,15 +198,17 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.mapInArrow(lambda batches: in_blocks(batches, work, size=BLOCK), schema)
 
 
-def identify(docs: DataFrame, sample: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, stretches: int = STRETCHES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row.
 
-    The chain is fitted on at most ``sample`` labelled documents (a bound on
-    what the driver holds) whose crc32(doc_id) modulo 4 is not 2; language,
+    The chain is fitted on at most ``stretches`` stretches of 40 words (a bound
+    on what the driver holds), shared evenly among the languages and at most
+    ``PER_DOCUMENT`` of a document, from labelled documents whose
+    crc32(doc_id) modulo 4 is not 2; language,
     source and id never reach a prediction.  A null doc_id counts as held
     out.  Repeated rows are predicted each; extra columns are ignored.
     """
-    rows = training_rows(docs, sample)
+    rows = training_rows(docs, stretches)
     chain = fit([t for t, _ in rows], [lang for _, lang in rows])
     slim = docs.select("doc_id", held_out(docs).alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict(slim, chain).select("doc_id", "held_out", "lang_pred", "score")
