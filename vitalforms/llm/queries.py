@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalforms.llm import (
-    language, maxscore, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup, token_counts,
+    language, maxscore, merkle, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup, token_counts,
 )
 from vitalforms.llm.common import documents
 
@@ -113,3 +113,38 @@ SELECT * FROM r WHERE rank <= 5""")
 def op10_top_products(spark: SparkSession, folder: str) -> DataFrame:
     vectors = maxscore.quantised(spark.read.parquet(f"{folder}/embeddings.parquet"))
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+_LEAF = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+                    for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, unused: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE ':' || lang END AS g,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents),
+l AS (SELECT g, doc_id, sha256({_LEAF.format(text="text")}) AS leaf, sha256({_LEAF.format(text="lowered")}) AS low,
+  coalesce({_CRC32} % 3 = 0, false) AS tampered FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS id FROM l),
+t(g, lvl, i, h, n) AS (SELECT g, 0, i, leaf, n FROM r UNION ALL
+  SELECT g, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY g, lvl, i // 8, n),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, h, n) AS (SELECT 0, i, h, n FROM sub UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lvl, i // 8, n),
+tn AS (SELECT DISTINCT g, lvl FROM t WHERE n > 1), un AS (SELECT DISTINCT lvl FROM u WHERE n > 1),
+below AS (SELECT r.id, r.g, tn.lvl, r.i // CAST(pow(8, tn.lvl) AS BIGINT) AS me FROM r JOIN tn USING (g)),
+above AS (SELECT r.id, un.lvl, sub.i // CAST(pow(8, un.lvl) AS BIGINT) AS me FROM r JOIN sub USING (g) CROSS JOIN un),
+beside AS (SELECT b.id, 0 AS phase, b.lvl, b.me, t.i, t.h FROM below b LEFT JOIN t ON t.g = b.g AND t.lvl = b.lvl AND t.i // 8 = b.me // 8 AND t.i <> b.me
+  UNION ALL SELECT a.id, 1, a.lvl, a.me, u.i, u.h FROM above a LEFT JOIN u ON u.lvl = a.lvl AND u.i // 8 = a.me // 8 AND u.i <> a.me),
+steps AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY phase, lvl) - 1 AS k,
+  coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < me), '') AS lefts,
+  coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > me), '') AS rights FROM beside GROUP BY id, phase, lvl),
+proof AS (SELECT id, count(*) AS m, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS p FROM steps GROUP BY id),
+f(id, k, node) AS (SELECT id, 0, CASE WHEN tampered THEN low ELSE leaf END FROM r UNION ALL
+  SELECT f.id, CAST(f.k + 1 AS INT), sha256(lefts || node || rights) FROM f JOIN steps s ON s.id = f.id AND s.k = f.k)
+SELECT r.doc_id, r.leaf, sub.h AS subroot, u.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = u.h AS verified
+FROM r JOIN sub USING (g) JOIN u ON u.n = 1 LEFT JOIN proof p ON p.id = r.id JOIN f ON f.id = r.id AND f.k = coalesce(p.m, 0)""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proofs(documents(spark, folder))
