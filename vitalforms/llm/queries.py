@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalforms.llm import (
-    language, maxscore, merkle, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup, token_counts,
+    language, licenses, maxscore, merkle, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup,
+    token_counts,
 )
 from vitalforms.llm.common import documents
 
@@ -115,6 +116,11 @@ def op10_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+@query()
+def op12_license_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, folder))
+
+
 _LEAF = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
                     for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
