@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitalforms.llm import (
-    language, licenses, maxscore, merkle, minhash_dedup, mixing, packing, personal_data, quality, sharding, suffix_dedup,
-    token_counts,
+    hard_negatives, language, licenses, maxscore, merkle, minhash_dedup, mixing, packing, personal_data, quality, sharding,
+    suffix_dedup, token_counts,
 )
 from vitalforms.llm.common import documents
 
@@ -116,6 +117,26 @@ def op10_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+c AS (SELECT vec_id, label, unnest(t) AS x, generate_subscripts(t, 1) AS d FROM v),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score FROM c a JOIN c ON c.d = a.d
+  WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id GROUP BY 1, 2, 3),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled(rows.select("vec_id", "embedding", moved.alias("label")))
+    return hard_negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query()
 def op12_license_labels(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_labels(documents(spark, folder))
