@@ -169,6 +169,10 @@ def test_quality_edges(spark, docs_of):
     texts += [" ".join(random.Random(i).choice("abc") for _ in range(40)) for i in range(60)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(12, 40)] + [(3, 0, 0), (5, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     check_quality(quality(docs_of(texts), labels).collect(), texts)
+    clashing = docs_of(texts).withColumnRenamed("row", "quality").withColumnRenamed("size", "_trusted").withColumnRenamed("source", "toxic")
+    assert sorted(map(tuple, quality(clashing, labels).collect())) == sorted(map(tuple, quality(docs_of(texts), labels).collect()))
+    twice = docs_of(texts + texts, [*range(len(texts))] * 2)
+    assert quality(twice, labels).count() == 2 * len(texts)
     assert quality(docs_of([]), labels.where("false")).count() == 0
 
 
