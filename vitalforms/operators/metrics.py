@@ -31,7 +31,7 @@ def error_rates(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """
     each = pairs.select(
         *group,
-        char_distance(F.col("pred"), F.col("truth")).alias("cd"), F.length("truth").alias("cl"),
+        char_distance("pred", "truth").alias("cd"), F.length("truth").alias("cl"),
         word_distance(F.col("pred"), F.col("truth")).alias("wd"), F.size(words(F.col("truth"))).alias("wl"),
         (F.col("pred") == F.col("truth")).cast("int").alias("hit"))
     return each.groupBy(*group).agg(
@@ -43,7 +43,7 @@ def error_rates(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 def char_error_rate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return pairs.groupBy(*group).agg(safe_ratio(
-        F.sum(char_distance(F.col("pred"), F.col("truth"))), F.sum(F.length("truth")), 100).alias("cer"))
+        F.sum(char_distance("pred", "truth")), F.sum(F.length("truth")), 100).alias("cer"))
 
 
 def word_error_rate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +64,7 @@ def worst_predictions(pairs: DataFrame, key: str, k: int = 5, group: Sequence[st
     """
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(
         F.desc("distance"), key)
-    scored = pairs.withColumn("distance", char_distance(F.col("pred"), F.col("truth"))).filter("distance > 0")
+    scored = pairs.withColumn("distance", char_distance("pred", "truth")).filter("distance > 0")
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(*group, key, "truth", "pred", "distance", "rank"))
 
