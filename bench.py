@@ -28,7 +28,8 @@ def main() -> None:
     spark = build_session("vitalforms-bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
                           spark__driver__memory="16g", spark__ui__enabled="false",
                           spark__ui__showConsoleProgress="false",
-                          spark__python__sql__dataFrameDebugging__enabled="false")
+                          spark__python__sql__dataFrameDebugging__enabled="false",
+                          spark__vitalforms__read__partitions=cpus)  # tables of one row group would keep one core busy
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the workers before the clock
     times = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vitalforms.functions.text import WHITESPACE, strip
+from vitalforms.functions.text import WHITESPACE, once, strip
 
 SPAN = "struct<start:int,end:int,label:string>"
 SPANS = f"array<{SPAN}>"
@@ -112,17 +112,24 @@ def locate_phrases(text: Column, pairs: Column) -> Column:
     hit = "struct<start:int,end:int,label:string,phrase:string>"
     empty = F.array().cast(f"array<{hit}>")
 
-    def step(acc: Column, pair: Column) -> Column:
-        phrase = strip(pair["phrase"])
-        size = F.length(phrase)
-        earlier = F.filter(acc, lambda h: h["phrase"] == phrase)
-        resume = F.coalesce(F.try_element_at(earlier, F.lit(-1))["end"], F.lit(0))
-        first = F.coalesce(_find(text, phrase, resume), _find(text, phrase, F.lit(0)))
+    def placed(acc: Column, pair: Column, phrase: Column, size: Column, first: Column) -> Column:
         clash = F.exists(acc, lambda h: (h["start"] < first + size) & (first < h["end"]))
-        start = F.when(clash, _find(text, phrase, first + size)).otherwise(first)
-        found = F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"),
-                         pair["label"].alias("label"), phrase.alias("phrase"))
-        return F.when(start.isNotNull() & (size > 0), F.array_append(acc, found)).otherwise(acc)
+
+        def added(start: Column) -> Column:
+            found = F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"),
+                             pair["label"].alias("label"), phrase.alias("phrase"))
+            return F.when(start.isNotNull() & (size > 0), F.array_append(acc, found)).otherwise(acc)
+
+        return once(F.when(clash, _find(text, phrase, first + size)).otherwise(first), added)
+
+    def step(acc: Column, pair: Column) -> Column:
+        def located(phrase: Column) -> Column:
+            earlier = F.filter(acc, lambda h: h["phrase"] == phrase)
+            resume = F.coalesce(F.try_element_at(earlier, F.lit(-1))["end"], F.lit(0))
+            first = once(resume, lambda at: F.coalesce(_find(text, phrase, at), _find(text, phrase, F.lit(0))))
+            return once(first, lambda at: placed(acc, pair, phrase, F.length(phrase), at))
+
+        return once(strip(pair["phrase"]), located)
 
     hits = F.aggregate(pairs, empty, step)
     return F.transform(hits, lambda h: span(h["start"], h["end"], h["label"]))

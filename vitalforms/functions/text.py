@@ -32,7 +32,7 @@ def db_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(DB_WHITESPACE))
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
     """f(c) with c evaluated once, however often f mentions it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
@@ -71,7 +71,7 @@ def null_chain(*cols: Column, default: str = "") -> Column:
 
 def capitalize(c: Column) -> Column:
     """First character upper, the rest lower (not per word)."""
-    return _once(c, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
+    return once(c, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
                                        F.lower(F.substring(x, 2, 2**31 - 1))))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"\b\w\w+\b"
+TOKEN = r"[\p{L}\p{N}_]{2,}"  # whole runs of letters, digits and underscores
 
 
 def tokens(text: Column) -> Column:

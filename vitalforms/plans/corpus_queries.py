@@ -336,24 +336,22 @@ def annotated_examples(spark, d):
 
 # --- text model ------------------------------------------------------------------------
 
-_TOKENS = r"""tok AS (SELECT key, regexp_extract_all(lower(text), '\b\w\w+\b') AS w FROM src),
+_TOKENS = r"""tok AS (SELECT key, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM src),
 tr AS (SELECT key, unnest(w) AS term FROM tok UNION ALL
   SELECT key, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM tok),
 tf AS (SELECT key, term, count(*) AS tf FROM tr GROUP BY 1, 2),
 voc AS (SELECT term, sum(tf) AS tf_total, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5000),
 vocab AS (SELECT *, ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1 AS idf FROM voc)"""
-# ASCII texts, so that word characters mean the same everywhere
-_SRC = "src AS (SELECT doc_id AS key, lang AS label, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents)"
+_SRC = "src AS (SELECT doc_id AS key, lang AS label, text FROM documents)"
 
 
-def _ascii_documents(spark, d):
-    return t.read(spark, d, "documents").selectExpr(
-        "doc_id", "lang", "regexp_replace(text, '[^ -~]', ' ') AS text")
+def _whole_documents(spark, d):
+    return t.read(spark, d, "documents", t.wanted_partitions(spark)).select("doc_id", "lang", "text")
 
 
 @query("tfidf_vocabulary", with_ctes(_SRC, _TOKENS) + "SELECT term, CAST(tf_total AS BIGINT) AS tf_total, df, round(idf, 9) AS idf FROM vocab")
 def tfidf_vocabulary(spark, d):
-    return model.vocabulary(_ascii_documents(spark, d), max_features=5000).withColumn("idf", F.round("idf", 9))
+    return model.vocabulary(_whole_documents(spark, d), max_features=5000).withColumn("idf", F.round("idf", 9))
 
 
 _FIT = """raww AS (SELECT key, term, (1 + ln(tf)) * idf AS x FROM tf JOIN vocab USING (term)),
@@ -373,7 +371,7 @@ z AS (SELECT key, sum(exp(l - top)) AS z FROM sc JOIN mx USING (key) GROUP BY 1)
 SELECT key AS doc_id, arg_max(label, l) AS label, round(max(1 / z), 4) AS confidence FROM sc JOIN z USING (key) GROUP BY 1""")
 def mnb_predict(spark, d):
     """Fit on the documents' languages, then score the same documents."""
-    docs = _ascii_documents(spark, d)
+    docs = _whole_documents(spark, d)
     fitted = model.fit(docs, "doc_id", "lang", work_dir(spark, "text-model"), max_features=5000)
     return fitted.predict(docs, "doc_id").select("doc_id", "label", "confidence")
 
@@ -383,7 +381,7 @@ def model_quality(spark, d):
     """Hold-out report: fit on the train split, report on the rest."""
     from vitalforms.operators import metrics
 
-    docs = corpus.stratified_split(_ascii_documents(spark, d), "lang", "doc_id", 0.2)
+    docs = corpus.stratified_split(_whole_documents(spark, d), "lang", "doc_id", 0.2)
     fitted = model.fit(docs.filter("split = 'train'"), "doc_id", "lang", work_dir(spark, "text-model"), max_features=5000)
     held = docs.filter("split = 'dev'")
     scored = fitted.predict(held, "doc_id").join(held.select("doc_id", "lang"), "doc_id")

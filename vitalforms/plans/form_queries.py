@@ -189,7 +189,7 @@ def pattern_search(spark, d):
             .when(k % 4 == 1, F.concat(F.lit(" on 3/14/2001 FEMALE age "), (k % 90).cast("string"), F.lit(" Born Again")))
             .when(k % 4 == 2, F.concat(F.lit(" LCR-2024-"), F.lpad((k % 9999).cast("string"), 4, "0"), F.lit(" filipino")))
             .otherwise(""))
-    docs = t.read(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("form_text"))
+    docs = t.read(spark, d, "documents", t.wanted_partitions(spark)).select("doc_id", F.concat("text", tail).alias("form_text"))
     x = F.col("form_text")
     return docs.select("doc_id", *[patterns.FINDERS[n](x).alias(n) for n in (
         "date", "sex", "age", "citizenship", "civil_status", "religion")],

@@ -130,8 +130,19 @@ ORDER_TYPE = f"CASE {_K} % 3 WHEN 0 THEN 'birth' WHEN 1 THEN 'death' ELSE 'marri
 ORDER_HINT = f"CASE WHEN {_K} % 4 = 0 THEN NULL ELSE {ORDER_TYPE} END"
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+PARTITIONS = "spark.vitalforms.read.partitions"
+
+
+def wanted_partitions(spark: SparkSession) -> int | None:
+    """Into how many partitions costly rows are dealt when they are read; unset (None) leaves the files' own splits."""
+    value = spark.conf.get(PARTITIONS, "")
+    return int(value) if value else None
+
+
+def read(spark: SparkSession, folder: str, table: str, partitions: int | None = None) -> DataFrame:
+    """One table; ``partitions`` deals its rows out anew, for files whose row groups are too few to split."""
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +168,7 @@ def document_data(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_columns(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """doc_id and every raw field as a column."""
-    o = read(spark, folder, "orders")
+    o = read(spark, folder, "orders", wanted_partitions(spark))
     c, n = (read(spark, folder, t) for t in ("customer", "nation"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         n, F.col("c_nationkey") == F.col("n_nationkey"))
