@@ -11,7 +11,7 @@ from vitalforms.functions import spans as sp
 from vitalforms.operators import compose, corpus, model
 from vitalforms.operators import spans as span_ops
 from vitalforms.plans import tables as t
-from vitalforms.plans.registry import RAW, query, with_ctes
+from vitalforms.plans.registry import DATA, RAW, query, with_ctes
 from vitalforms.session import work_dir
 
 # --- spans ---------------------------------------------------------------------
@@ -160,11 +160,13 @@ def fixed_sample(spark, d):
     return corpus.fixed_sample(t.read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 200)
 
 
-@query("capped_split", """
-WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)
-SELECT event_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 5000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c WHERE n <= 5000""")
+@query("capped_split", with_ctes(DATA) + """
+, c AS (SELECT data_id, row_number() OVER (ORDER BY data_id) AS n FROM data)
+SELECT data_id, CASE WHEN n <= CAST(floor((SELECT count(*) FROM c WHERE n <= 50000) * 0.9 + 1e-9) AS BIGINT) THEN 'train' ELSE 'val' END AS split
+FROM c WHERE n <= 50000""")
 def capped_split(spark, d):
-    return corpus.capped_split(t.read(spark, d, "events").select("event_id"), "event_id", cap=5000)
+    """The first 50,000 field rows, nine tenths of them to train on."""
+    return corpus.capped_split(t.document_data(spark, d).select("data_id"), "data_id", cap=50_000)
 
 
 # --- unions, counts, pools ----------------------------------------------------------
