@@ -81,3 +81,29 @@ def stream_corrections(spark, d):
     versions = spark.read.parquet(f"{root}/data")
     newest = versions.agg(F.max("v").alias("v"))
     return versions.join(F.broadcast(newest), "v", "left_semi").select("data_id", "extracted_value", "is_corrected")
+
+
+# Three arrivals: two thirds of the time span in order, the rest of it together with rows of the first days, which come too late.
+_ARRIVALS = """b AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM events),
+a AS (SELECT *, CASE WHEN event_id % 50 = 0 AND ts < t0 + INTERVAL 3 DAY THEN 3 WHEN ts < t0 + (t1 - t0) / 3 THEN 1
+  WHEN ts < t0 + (t1 - t0) / 3 * 2 THEN 2 ELSE 3 END AS arrival FROM events, b)"""
+
+
+@query("stream_window_late", f"""WITH {_ARRIVALS},
+m AS (SELECT max(ts) FILTER (WHERE arrival < 3) - INTERVAL 1 DAY AS late_before, max(ts) - INTERVAL 1 DAY AS closed_before FROM a),
+w AS (SELECT *, date_trunc('day', ts) AS day FROM a, m WHERE arrival < 3 OR date_trunc('day', ts) + INTERVAL 1 DAY > late_before)
+SELECT CAST(day AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM w WHERE day + INTERVAL 1 DAY <= closed_before GROUP BY ALL""")
+def stream_window_late(spark, d):
+    """Windows in append mode over three micro-batches: closed ones come out once, late rows and open windows do not."""
+    root = work_dir(spark, "stream-window-late")
+    events = t.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    t0, t1 = events.agg(F.min(F.unix_micros("ts"))).scalar(), events.agg(F.max(F.unix_micros("ts"))).scalar()
+    third, since = (t1 - t0) / 3, F.unix_micros("ts") - t0
+    arrival = (F.when((F.col("event_id") % 50 == 0) & (since < 3 * 86_400_000_000), 3).when(since < third, 1)
+               .when(since < third * 2, 2).otherwise(3))
+    dealt = events.select("event_id", "event_type", "ts", arrival.alias("arrival"))
+    counts = jobs.window_counts(jobs.file_stream(spark, f"{root}/in/*", dealt.drop("arrival").schema), "ts", "event_type")
+    for n in (1, 2, 3):
+        dealt.where(F.col("arrival") == n).drop("arrival").write.parquet(f"{root}/in/arrival={n}")
+        jobs.run_available(counts, f"{root}/checkpoint", jobs.batch_folder_writer(f"{root}/out"))
+    return spark.read.parquet(f"{root}/out").select("window_start", "event_type", "n")
