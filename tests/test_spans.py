@@ -96,3 +96,22 @@ def test_different_pages_of_one_name_stay(spark, tmp_path):
         (tmp_path / folder / "0001.json").write_text(json.dumps({"form": [{"label": "answer", "words": [{"text": word}], "id": 0}]}))
     rows = pages.page_examples(pages.read_pages(spark, str(tmp_path), "training")).collect()
     assert sorted((r.page_id, r.text) for r in rows) == [("a/training/annotations/0001", "one"), ("b/training/annotations/0001", "two")]
+
+
+def test_broken_pages_go_to_the_rejects(spark, tmp_path):
+    import json
+    folder = tmp_path / "a/training/annotations"
+    folder.mkdir(parents=True)
+    block = {"label": "answer", "words": [{"text": "one", "box": [1, 2, 3, 4]}], "id": 0}
+    texts = {"good": json.dumps({"form": [block]}), "empty": json.dumps({"form": []}), "cut": json.dumps({"form": [block]})[:-3],
+             "blank": " \n", "none": json.dumps({"pages": 1}), "text": json.dumps({"form": "x"}), "null": json.dumps({"form": None}),
+             "type": json.dumps({"form": [block | {"id": "first"}]}), "tail": json.dumps({"form": [block]}) + " }", "words": "not json at all"}
+    for name, text in texts.items():
+        (folder / f"{name}.json").write_text(text)
+    (folder / "bytes.json").write_bytes(b"\xff\xfe{")
+    good, bad = pages.read_pages_checked(spark, str(tmp_path), "training")
+    assert {r.page_id: len(r.form) for r in good.collect()} == {"good": 1, "empty": 0}
+    assert {r.path.rsplit("/", 1)[1][:-5]: r.reason for r in bad.collect()} == {
+        "cut": "not json", "blank": "blank", "none": "no form", "text": "form is no list", "null": "no form", "type": "wrong type",
+        "tail": "not json", "words": "not json", "bytes": "not json"}
+    assert [(r.page_id, r.text) for r in pages.page_examples(good.where("page_id = 'good'")).collect()] == [("good", "one")]

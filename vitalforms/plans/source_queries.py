@@ -185,3 +185,21 @@ def label_json(spark, d):
     """Rows through JSON text and back."""
     rows = t.read(spark, d, "labels").select(F.to_json(F.struct("doc_id", "quality", "toxic")).alias("j"))
     return rows.select(F.from_json("j", "doc_id long, quality int, toxic int").alias("r")).select("r.*")
+
+
+@query("page_rejects", """
+WITH p AS (SELECT conv_id * 100 + turn AS page_id, conv_id * 7 + turn AS k, len(string_split(text, chr(10))) AS lines FROM conversations)
+SELECT page_id, CASE k % 8 WHEN 0 THEN 'not json' WHEN 1 THEN 'no form' WHEN 2 THEN 'form is no list' WHEN 3 THEN 'wrong type' WHEN 4 THEN 'blank' END AS reason,
+  CASE WHEN k % 8 > 4 THEN CAST(lines AS INT) END AS blocks FROM p""")
+def page_rejects(spark, d):
+    """Turns as page texts, five of eight of them broken in one of five ways; the others are read whole."""
+    turns = t.read(spark, d, "conversations")
+    block = lambda x, i: F.struct(F.array(F.lit(0)).alias("box"), x.alias("text"), F.lit("other").alias("label"), i.alias("id"))
+    page = F.to_json(F.struct(F.transform(F.split("text", "\n"), block).alias("form")))
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 8
+    value = (F.when(k == 0, F.expr("substring(page, 1, length(page) - 2)")).when(k == 1, F.concat(F.lit('{"pages": '), "page", F.lit("}")))
+             .when(k == 2, F.concat(F.lit('{"form": '), "page", F.lit("}"))).when(k == 3, F.replace("page", F.lit('"id":0'), F.lit('"id":"first"')))
+             .when(k == 4, F.lit(" \n")).otherwise(F.col("page")))
+    rows = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), k.alias("k"), page.alias("page"), "conv_id", "turn")
+    done = pg.checked(rows.select("page_id", value.alias("value")))
+    return done.select("page_id", "reason", F.when(F.col("form").isNotNull(), F.size("form")).alias("blocks"))

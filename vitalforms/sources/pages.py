@@ -25,7 +25,15 @@ def read_pages(spark: SparkSession, root: str, split: str) -> DataFrame:
     files = (spark.read.schema(PAGE).option("multiLine", "true").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.json").json(root)
              .select(F.col("_metadata.file_path").alias("path"), "form"))
-    own = files.filter(F.contains("path", F.lit(split)) & F.regexp_like("path", F.lit(r"/annotations/[^/]+$")))
+    return _named(_of_split(files, split), root)
+
+
+def _of_split(files: DataFrame, split: str) -> DataFrame:
+    return files.filter(F.contains("path", F.lit(split)) & F.regexp_like("path", F.lit(r"/annotations/[^/]+$")))
+
+
+def _named(own: DataFrame, root: str) -> DataFrame:
+    """(page_id, form) of files (path, form): equal ones of a name once, different ones by their path."""
     page = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     once = own.groupBy(page.alias("_name"), "form").agg(F.min("path").alias("path"))
     below = F.element_at(F.split("path", "/" + re.escape(root.strip("/")) + "/", 2), -1)
@@ -34,6 +42,38 @@ def read_pages(spark: SparkSession, root: str, split: str) -> DataFrame:
     return once.select(page_id.alias("page_id"), "form")
 
 
+def checked(records: DataFrame, value: str = "value") -> DataFrame:
+    """``records`` with form and reason: pages out of JSON texts, or why a text is none.
+
+    Reasons, the first that holds: ``blank``, ``not json``, ``no form``, ``form
+    is no list``, ``wrong type`` (a member of a block has not the type of the
+    schema).  A page has no reason; a broken one has no form.  Texts are read
+    each by itself, so broken ones do not change others.
+    """
+    text = F.col(value)
+    parsed = F.from_json(text, PAGE + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    form = F.get_json_object(text, "$.form")
+    # the parser stops after the first value; as the only item of a list it must be followed by nothing
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+    reason = (F.when(F.coalesce(F.btrim(text, F.lit(" \t\r\n")), F.lit("")) == "", "blank")
+              .when(F.try_parse_json(text).isNull() | ~alone, "not json").when(form.isNull(), "no form")
+              .when(~form.startswith("["), "form is no list").when(F.col("_page._corrupt").isNotNull(), "wrong type"))
+    out = records.withColumn("_page", parsed).withColumn("reason", reason)
+    return out.withColumn("form", F.when(F.col("reason").isNull(), F.col("_page.form"))).drop("_page")
+
+
+def read_pages_checked(spark: SparkSession, root: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """The pages (page_id, form) of ``read_pages``, and the rejects (path, reason, value) of the same folders.
+
+    Files are read as texts, so one that is no JSON stops nothing.
+    """
+    files = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+             .text(root).select(F.col("_metadata.file_path").alias("path"), "value"))
+    rows = checked(_of_split(files, split))
+    return _named(rows.where("reason IS NULL").select("path", "form"), root), rows.where("reason IS NOT NULL").select(
+        "path", "reason", "value")
+
+
 def page_examples(pages: DataFrame) -> DataFrame:
     """(page_id, text, spans) of nested pages."""
     return examples(pages, "page_id", page_blocks(F.coalesce("form", F.array())))
