@@ -13,6 +13,7 @@ from vitalforms.operators import spans as span_ops
 from vitalforms.plans import tables as t
 from vitalforms.plans.registry import DATA, RAW, query, with_ctes
 from vitalforms.session import work_dir
+from vitalforms.store.models import ModelRegistry
 
 # --- spans ---------------------------------------------------------------------
 
@@ -388,3 +389,23 @@ def model_quality(spark, d):
     held = docs.filter("split = 'dev'")
     scored = fitted.predict(held, "doc_id").join(held.select("doc_id", "lang"), "doc_id")
     return metrics.classification_report(scored.selectExpr("lang AS actual", "label AS predicted"))
+
+
+_HELD = r""", held AS (SELECT doc_id AS key, text FROM documents WHERE doc_id % 5 = 0),
+htok AS (SELECT key, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM held),
+htr AS (SELECT key, unnest(w) AS term FROM htok UNION ALL SELECT key, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM htok),
+hraw AS (SELECT key, term, (1 + ln(count(*))) * any_value(idf) AS x FROM htr JOIN vocab USING (term) GROUP BY 1, 2),
+hnrm AS (SELECT key, sqrt(sum(x * x)) AS nm FROM hraw GROUP BY 1),
+hs AS (SELECT key, label, sum(x / nm * weight) AS s FROM hraw JOIN hnrm USING (key) JOIN wgt USING (term) GROUP BY 1, 2),
+hl AS (SELECT held.key, cls.label, log_prior + coalesce(s, 0) AS l FROM held CROSS JOIN cls LEFT JOIN hs ON hs.key = held.key AND hs.label = cls.label),
+hm AS (SELECT key, max(l) AS top FROM hl GROUP BY 1)
+SELECT key AS doc_id, arg_max(label, l) AS label, round(1 / sum(exp(l - top)), 4) AS confidence FROM hl JOIN hm USING (key) GROUP BY 1"""
+
+
+@query("model_registry", with_ctes(_SRC + " WHERE doc_id % 5 <> 0)", _TOKENS, _FIT).replace("FROM documents) WHERE", "FROM documents WHERE").rstrip() + _HELD)
+def model_registry(spark, d):
+    """A published model, loaded by name, scores the documents that it has not seen."""
+    docs = _whole_documents(spark, d)
+    models = ModelRegistry(spark, work_dir(spark, "models"))
+    models.publish("language", docs.where("doc_id % 5 <> 0"), "doc_id", "lang", max_features=5000)
+    return models.classify("language", docs.where("doc_id % 5 = 0"), "text", "doc_id").select("doc_id", "label", "confidence")

@@ -57,4 +57,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and (root.startswith("file:") or root.startswith("/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
