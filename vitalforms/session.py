@@ -51,13 +51,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; every job
     gets its own child of it.  Where it is unset the folder lies in the
-    warehouse, which driver and executors share as well.
+    warehouse; one on a machine's own disk is refused on a cluster, because
+    executors do not see it.
     """
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         local = spark.sparkContext.master.split("[")[0] == "local"
-        if not local and (root.startswith("file:") or root.startswith("/")):
+        if not local and root.startswith("file:"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
