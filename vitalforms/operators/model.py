@@ -29,20 +29,27 @@ def terms(text: Column) -> Column:
     return F.concat(t, pairs)
 
 
-def term_rows(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, term, tf): one row per different term of a text.
+def term_arrays(df: DataFrame, key: str, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, terms): the different terms of a text with their counts, as one array a row.
 
     A row holds its whole text, so its terms are sorted and counted inside
-    the row and no occurrence is moved.  The outer form of explode keeps the
-    optimizer from tokenising every text a second time just to test that it
-    has terms.
+    the row and no occurrence is moved.
     """
-    listed = df.select(key, *extra, F.array_sort(terms(F.col(text))).alias("_s"))
+    listed = df.select(key, *extra, F.sort_array(terms(F.col(text))).alias("_s"))
     new = F.transform("_s", lambda t, i: F.when((i == 0) | (F.get("_s", i - 1) != t), i))
     runs = listed.withColumn("_p", F.filter(new, lambda p: p.isNotNull()))
     counts = F.transform("_p", lambda p, k: F.struct(
         F.get("_s", p).alias("term"), (F.coalesce(F.get("_p", k + 1), F.size("_s")) - p).alias("tf")))
-    rows = runs.select(key, *extra, F.explode_outer(counts).alias("r")).filter("r IS NOT NULL")
+    return runs.select(key, *extra, counts.alias("terms"))
+
+
+def term_rows(arrays: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, tf): one row per different term.
+
+    The outer form of explode keeps the optimizer from counting every text a
+    second time just to test that it has terms.
+    """
+    rows = arrays.select(key, *extra, F.explode_outer("terms").alias("r")).filter("r IS NOT NULL")
     return rows.select(key, *extra, "r.term", "r.tf")
 
 
@@ -53,21 +60,26 @@ def vocabulary(documents: DataFrame, text: str = "text", max_features: int | Non
     idf = ln((1 + n) / (1 + df)) + 1 with n the number of documents.  Both
     counts come from one grouping by term, combined on the map side.
     """
-    n = documents.agg(F.count(F.lit(1))).scalar()
-    rows = term_rows(documents.select(F.lit(0).alias("_k"), F.col(text).alias("_text")), "_k", "_text")
+    texts = documents.select(F.lit(0).alias("_k"), F.col(text).alias("_text"))
+    return vocabulary_of(term_arrays(texts, "_k", "_text"), "_k", max_features)
+
+
+def vocabulary_of(arrays: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
+    """``vocabulary`` from counted terms."""
+    n = arrays.agg(F.count(F.lit(1))).scalar()
+    rows = term_rows(arrays, key)
     stats = rows.groupBy("term").agg(F.sum("tf").alias("tf_total"), F.count(F.lit(1)).alias("df"))
     top = stats if max_features is None else stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
     return top.select("term", "tf_total", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weighted_terms(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
-                   extra: tuple[str, ...] = ()) -> DataFrame:
+def weighted_terms(arrays: DataFrame, vocab: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, term, x, and the other columns of ``vocab``) of the known terms: sub-linear tf times idf.
 
     The vocabulary is joined by term: where the planner finds it small it is
     sent to the texts and no term row moves.
     """
-    known = term_rows(df, key, text, extra).join(vocab, "term")
+    known = term_rows(arrays, key, extra).join(vocab, "term")
     return known.withColumn("x", (1 + F.log("tf")) * F.col("idf")).drop("tf", "idf")
 
 
@@ -90,7 +102,7 @@ class TextModel:
             F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
         known = self.vocab.select("term", "idf").join(wide, "term")
         # sums per document and label are combined in the task that holds the text
-        sums = (weighted_terms(df, known, key, text).select(key, "x", F.explode("_w").alias("label", "_weight"))
+        sums = (weighted_terms(term_arrays(df, key, text), known, key).select(key, "x", F.explode("_w").alias("label", "_weight"))
                 .groupBy(key, "label").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"),
                                            F.sum(F.col("x") * F.col("x")).alias("_q"))
                 .groupBy(key).agg(F.map_from_entries(F.collect_list(
@@ -126,19 +138,22 @@ def fit(df: DataFrame, key: str, label: str, path: str, text: str = "text",
         alpha: float = 0.1, max_features: int | None = None) -> TextModel:
     """Fit on (key, text, label) and store the model under ``path``.
 
-    The texts are read three times: for the vocabulary and the lengths of the
-    documents, which are stored, and for the class sums.  A length meets its
-    text before the terms are taken apart, so term rows are summed where they
-    arise.  ``key`` tells the rows apart.
+    The terms of every text are counted once and stored; the vocabulary, the
+    lengths of the documents and the class sums come from these counts.  A
+    length meets the counts before they are taken apart, so term rows are summed
+    where they arise.  ``key`` tells the rows apart.
     """
     spark = df.sparkSession
-    vocabulary(df, text, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
+    counted = term_arrays(df, key, text, (label,))
+    counted.write.mode("overwrite").parquet(f"{path}/terms")
+    counted = spark.read.schema(counted.schema).parquet(f"{path}/terms")
+    vocabulary_of(counted, key, max_features).write.mode("overwrite").parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
     idf = vocab.select("term", "idf")
-    norms = weighted_terms(df, idf, key, text).groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    norms = weighted_terms(counted, idf, key).groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
     norms.write.mode("overwrite").parquet(f"{path}/norms")
-    normed = df.select(key, label, text).join(spark.read.schema(norms.schema).parquet(f"{path}/norms"), key)
-    x = weighted_terms(normed, idf, key, text, (label, "_norm"))
+    normed = counted.join(spark.read.schema(norms.schema).parquet(f"{path}/norms"), key)
+    x = weighted_terms(normed, idf, key, (label, "_norm"))
     x.groupBy(F.col(label).cast("string").alias("label"), "term").agg(
         F.sum(F.col("x") / F.col("_norm")).alias("w")).write.mode("overwrite").parquet(f"{path}/sums")
     sums = spark.read.parquet(f"{path}/sums")
