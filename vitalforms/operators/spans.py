@@ -11,6 +11,7 @@ from vitalforms.functions import codes
 from vitalforms.functions import spans as sp
 from vitalforms.functions.text import join_words, strip
 from vitalforms.operators.scan import SEGMENT_ROWS, running
+from vitalforms.session import work_dir
 
 
 def block_offsets(blocks: DataFrame, key: str, order: str, text: str,
@@ -109,6 +110,75 @@ def span_corpus(df: DataFrame, text: str = "text", spans: str = "spans",
             .withColumn(spans, sp.drop_overlaps(F.col("_fit"))).drop("_clean", "_fit"))
 
 
+def _cells(start: Column, end: Column) -> Column:
+    """The aligned cells (level, at) of 2^level offsets that make up a span."""
+    def of_level(k: Column) -> Column:
+        low, high = F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", end, k)
+        odd = lambda at: (low < high) & (at % 2 == 1)
+        found = F.array(F.when(odd(low), low), F.when(odd(high), high - 1))
+        return F.transform(F.filter(found, lambda at: at.isNotNull()), lambda at: F.struct(k.alias("level"), at.alias("at")))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(end - start)).cast("int") + 1)
+    return F.inline(F.flatten(F.transform(levels, of_level)))
+
+
+def choose_spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, start, end, label): longest spans first, then the earlier, then by label; overlapping ones go.
+
+    ``rows`` has one span a row; no document is gathered anywhere.  In each
+    round the spans that no better one overlaps are kept and those they
+    overlap go.  A better span is at least as long, so it covers the first or
+    the last offset of the worse one: each span is entered under the few
+    aligned cells it is made of, and both end offsets look up the cells they
+    lie in.  The rounds are as many as the longest chain of overlapping spans
+    in which each next one is worse and undecided: at most the root of twice
+    the text's length, in prose two or three.
+
+    Equal spans count once; empty or reversed ones, and those without an
+    offset, go.  Null keys form a group like any other, a null label is the
+    first in order, other columns are ignored, an empty table gives no rows.
+    """
+    spark, root = rows.sparkSession, work_dir(rows.sparkSession, "span-choice")
+    kinds = {c: rows.schema[c].dataType for c in ("start", "end")}
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label").alias("span")
+    left = rows.where(F.col("end") > F.col("start")).select(F.struct(*keys).alias("group"), span).distinct()
+    start, end = F.col("span.start"), F.col("span.end")
+    rank = F.struct((start - end).alias("length"), start.alias("start"), F.col("span.label").alias("label"))
+    ends = F.explode(F.array_distinct(F.array(start, end - 1)))
+
+    def looked_up(spans: DataFrame, top: int) -> DataFrame:
+        points = spans.select("group", "span", ends.alias("point"))
+        level = F.explode(F.sequence(F.lit(0), F.lit(top)))
+        return points.withColumn("level", level).select(
+            "group", "span", "level", F.call_function("shiftright", "point", F.col("level")).alias("at"))
+
+    paths: list[str] = []
+    while True:
+        n = len(paths)
+        left.write.parquet(f"{root}/open-{n}")
+        left = spark.read.schema(left.schema).parquet(f"{root}/open-{n}")
+        longest = left.agg(F.max(end - start)).first()[0]
+        if longest is None:
+            break
+        top = longest.bit_length() - 1
+        best = left.select("group", rank.alias("rank"), _cells(start, end)).groupBy("group", "level", "at").agg(
+            F.min("rank").alias("best"))
+        judged = looked_up(left, top).join(best, ["group", "level", "at"]).groupBy("group", "span").agg(
+            F.min("best").alias("best")).select("group", "span", F.col("best").eqNullSafe(rank).alias("kept"))
+        judged.write.parquet(f"{root}/judged-{n}")
+        paths.append(f"{root}/judged-{n}")
+        judged = spark.read.schema(judged.schema).parquet(paths[-1])
+        taken = judged.where("kept").select("group", _cells(start, end)).withColumn("hit", F.lit(1))
+        lost = looked_up(judged.where("NOT kept"), top)
+        left = lost.join(taken, ["group", "level", "at"], "left").groupBy("group", "span").agg(
+            F.count("hit").alias("hits")).where("hits = 0").select("group", "span")
+    if not paths:
+        return rows.select(*keys, "start", "end", "label").where(F.lit(False))
+    chosen = spark.read.schema(judged.schema).parquet(*paths).where("kept")
+    return chosen.select(*[F.col(f"group.{k}").alias(k) for k in keys],
+                         *[F.col(f"span.{c}").cast(t).alias(c) for c, t in kinds.items()], F.col("span.label").alias("label"))
+
+
 def span_rows(df: DataFrame, keys: Sequence[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """One row per span with its text."""
     long = df.select(*keys, text, F.explode_outer(spans).alias("_s")).filter("_s IS NOT NULL")

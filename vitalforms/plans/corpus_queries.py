@@ -95,15 +95,19 @@ def span_corpus(spark, d):
                        F.to_json("spans").alias("spans"))
 
 
-@query("span_nonoverlap")
+@query("span_nonoverlap", """
+WITH r AS (SELECT DISTINCT user_id AS doc_id, CAST(floor(value) AS INT) % 400 AS s,
+  CAST(floor(value) AS INT) % 400 + CAST(user_id % 3 + event_id % 5 + 1 AS INT) AS e FROM events),
+g AS (SELECT doc_id, list([{'s': s, 'e': e}] ORDER BY s - e, s) AS spans FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(spans, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.s < x[1].e AND x[1].s < k.e)) = 0
+  THEN list_concat(kept, x) ELSE kept END)) AS x FROM g)
+SELECT doc_id, x.s AS start, x.e AS "end", 'X' AS label FROM k""", casts="start INT,end INT")
 def span_nonoverlap(spark, d):
     """Longest-first choice among overlapping spans of a document."""
     rows = t.read(spark, d, "events").selectExpr(
         "user_id AS doc_id", "CAST(floor(value) AS INT) % 400 AS start",
-        "CAST(floor(value) AS INT) % 400 + CAST(user_id % 3 + event_id % 5 + 1 AS INT) AS `end`").distinct()
-    arrays = rows.groupBy("doc_id").agg(F.collect_list(
-        sp.span(F.col("start"), F.col("end"), F.lit("X"))).alias("spans"))
-    return arrays.select("doc_id", F.inline_outer(sp.drop_overlaps(F.col("spans"))))
+        "CAST(floor(value) AS INT) % 400 + CAST(user_id % 3 + event_id % 5 + 1 AS INT) AS `end`", "'X' AS label")
+    return span_ops.choose_spans(rows, ["doc_id"])
 
 
 @query("span_locate", with_ctes(RAW) + """

@@ -306,6 +306,24 @@ def edited_keys(spark, d):
             .groupBy("doc_id", "key", "field_name", "rejected").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("edited_fields", """
+WITH e AS (SELECT l_orderkey AS doc_id, (['autopsy', 'husband_consent_residence', 'wife_dob_day', 'groom_prev_marriage',
+  'bride_mother_citizenship', 'f1a_mother_nat', 'form2A', 'mother_religion', 'marriage_time', 'bride_husband_first', 'f3a_dom',
+  'date_of_marriage_of_parents'])[1 + l_partkey % 12] AS key FROM lineitem)
+SELECT key, CASE key WHEN 'f1a_mother_nat' THEN 'mother_citizenship' WHEN 'f3a_dom' THEN 'date_of_marriage'
+  WHEN 'form2A' THEN NULL WHEN 'bride_husband_first' THEN NULL ELSE key END AS field_name,
+  count(*) AS n, count(DISTINCT doc_id) AS documents FROM e GROUP BY ALL""")
+def edited_fields(spark, d):
+    """Edited keys of all parts of the field dictionary, with the documents they come from."""
+    keys = ("autopsy", "husband_consent_residence", "wife_dob_day", "groom_prev_marriage", "bride_mother_citizenship",
+            "f1a_mother_nat", "form2A", "mother_religion", "marriage_time", "bride_husband_first", "f3a_dom",
+            "date_of_marriage_of_parents")
+    key = codes.lookup(dict(enumerate(keys)), (F.col("l_partkey") % len(keys)).cast("int"))
+    rows = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), key.alias("key"))
+    done = rows.withColumn("field_name", compose.canonical_edit_key(F.col("key")))
+    return done.groupBy("key", "field_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query("required_fields", """
 WITH r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'form1a' WHEN 1 THEN 'form2a' WHEN 2 THEN 'form3a' ELSE 'form90' END AS folder,
   c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS d, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS p FROM customer),
