@@ -9,14 +9,21 @@ no essential list cannot enter the result.  Vectors from essential lists are
 probed in the other terms only while their partial score and the remaining
 bounds can still reach the k-th score.
 
-Vectors are dealt to shards and queries to blocks of bounded size; each task
-scores one block against one shard and the k best of each shard are merged.
+Every vector is packed into a shard where it is read; the postings of a shard
+are built once, stored with it, and the shard moves once, to a bucket of
+shards.  Blocks of queries are copied to the buckets and stream past them; the
+k-th score found in one shard of a bucket is the starting threshold in the
+next.  Only the k best of each bucket leave a task.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +31,9 @@ from vitalforms.llm.common import staged
 
 HITS = "query_id long, vec_id long, score long"
 HEAD, STEP = 32, 8
+SHARD_ROWS = 4096
+BUCKET_ROWS = 65_536
+BLOCK_ROWS = 256      # queries of a block
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -35,31 +45,54 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
         F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("terms"))
 
 
+def _columns(terms: pa.Array) -> np.ndarray:
+    """dimensions x rows; missing trailing terms are 0."""
+    lengths = np.diff(terms.offsets.to_numpy())
+    values = terms.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((int(lengths.max(initial=0)), len(lengths)), np.int64)
+    out[np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths), rows] = values
+    return out
+
+
+def postings(columns: np.ndarray) -> dict:
+    """For each signed dimension the rows with a component of that sign, largest first, and that largest magnitude."""
+    lists, most = {}, np.zeros((2, len(columns)), np.int64)
+    for d, column in enumerate(columns):
+        for side, own in enumerate((column, -column)):
+            found = np.flatnonzero(own > 0)
+            found = found[np.argsort(-own[found], kind="stable")]
+            lists[side, d] = found.astype(np.int32)
+            most[side, d] = own[found[0]] if len(found) else 0
+    return {"lists": lists, "most": most}
+
+
 class Shard:
-    """Impact postings of one shard."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
-        self.lists, self.most = {}, np.zeros((2, rows.shape[1]), np.int64)
-        for d in range(rows.shape[1]):
-            column = self.rows[:, d]
-            for side, own in enumerate((column, -column)):
-                found = np.flatnonzero(own > 0)
-                found = found[np.argsort(-own[found], kind="stable")]
-                self.lists[side, d] = found
-                self.most[side, d] = own[found[0]] if len(found) else 0
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one shard by dimension, with their postings."""
+
+    def __init__(self, ids: np.ndarray, columns: np.ndarray, lists: dict, most: np.ndarray):
+        self.ids, self.lists, self.most, self.columns = ids, lists, most, columns
+        self.greatest = int(most.max(initial=0))
+        self.doubles = columns.astype(np.float64) if self.greatest < 1 << 26 else columns
+
+    def top(self, query_id: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best, without rows below ``floor``, a score that k rows elsewhere reach."""
+        width = min(len(q), len(self.columns))
+        q = q[:width]
+        # products are summed as doubles only while every sum stays below 2^53, so they are exact either way
+        small = int(np.abs(q).max(initial=0)) * self.greatest * max(1, width) < 1 << 53
+        columns = self.doubles if small else self.columns
         side = (q < 0).astype(np.int64)
-        bound = np.abs(q) * self.most[side, np.arange(len(q))]
+        bound = np.abs(q) * self.most[side, np.arange(width)]
         terms = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # what terms[i:] can still add
+        q = q.astype(columns.dtype)
+        least = floor
         heads = np.unique(np.concatenate([self.lists[side[d], d][:HEAD] for d in terms[:STEP]] or [[]])).astype(np.int64)
         heads = heads[self.ids[heads] != query_id]
-        least = None
-        if len(heads) >= k:
-            least = np.partition(self.rows[heads] @ q, len(heads) - k)[len(heads) - k]
+        if len(heads) >= k and (least is None or rest[0] >= least):
+            kth = int(np.partition(q @ columns[:width, heads], len(heads) - k)[len(heads) - k])
+            least = kth if least is None else max(least, kth)
         if least is None or least <= 0:
             found = np.arange(len(self.ids))  # a vector in no list of the query scores 0 at most
         else:
@@ -69,29 +102,53 @@ class Shard:
                 hit[self.lists[side[d], d]] = True
             found = np.flatnonzero(hit)
         found = found[self.ids[found] != query_id]
-        score = np.zeros(len(found), np.int64)
-        for i in range(0, len(terms), STEP):
+        score = np.zeros(len(found), columns.dtype)
+        for i in range(0, width, STEP):
             dims = terms[i:i + STEP]
-            score += self.rows[np.ix_(found, dims)] @ q[dims]
+            part = columns[dims] if len(found) == len(self.ids) else columns[np.ix_(dims, found)]
+            score += q[dims] @ part
             if least is not None:
-                keep = score + rest[min(i + STEP, len(terms))] >= least
-                found, score = found[keep], score[keep]
+                keep = score + rest[min(i + STEP, width)] >= least
+                if not keep.all():
+                    found, score = found[keep], score[keep]
+            if not len(found):
+                break
+        if len(found) > k:
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]  # ties of the k-th are ordered below
+            found, score = found[near], score[near]
         best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found[best]], score[best]
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of equal width; missing trailing terms are 0."""
-    rows = np.zeros((len(column), width), np.int64)
-    lengths = np.array([len(x) for x in column], np.int64)
-    flat = column.combine_chunks().flatten().to_numpy()
-    at = np.repeat(np.arange(len(lengths)), lengths)
-    rows[at, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-    return rows
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096,
-          block_rows: int = 512) -> DataFrame:
+        return self.ids[found[best]], score[best].astype(np.int64)
+
+
+def _packed(rows: DataFrame, size: int, more: Callable[[np.ndarray], dict] | None = None) -> DataFrame:
+    """(number, body): up to ``size`` rows of a partition as ids, columns and what ``more`` makes of the columns."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, count = TaskContext.get().partitionId() << 32, [], 0
+
+        def body() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            columns = _columns(table.column("terms").combine_chunks())
+            content = {"ids": table.column("vec_id").to_numpy(), "columns": columns, **(more(columns) if more else {})}
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([pickle.dumps(content)], pa.binary())],
+                                              names=["number", "body"])
+
+        for batch in batches:
+            while len(batch):
+                taken = batch.slice(0, size - count)
+                batch = batch.slice(len(taken))
+                held.append(taken)
+                count += len(taken)
+                if count == size:
+                    yield body()
+                    first, held, count = first + 1, [], 0
+        if count:
+            yield body()
+
+    return rows.select("vec_id", "terms").mapInArrow(work, "number long, body binary")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS,
+          bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each query.
 
     Both inputs have vec_id and terms (``quantised``); other columns are
@@ -100,25 +157,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     repeated queries are asked once, with the smallest vector.  A shorter
     vector has 0 in the terms it lacks.  With fewer than k candidates all are
     returned; empty inputs give no rows.
+
+    A task holds one bucket of shards and one block of queries.  Vectors are
+    moved once, whatever the number of queries.
     """
-    asked = staged(queries.groupBy("vec_id").agg(F.min("terms").alias("terms")), "queries")
-    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, shard_rows), (asked, block_rows)))
-    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n))).withColumn(
-        other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    left = spread(vectors.select("vec_id", "terms"), "shard", shards, "block", blocks)
-    right = spread(asked, "block", blocks, "shard", shards)
-
-    def score(found: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(found) and len(wanted):
-            width = max(max((len(x) for x in t.column("terms")), default=0) for t in (found, wanted))
-            shard = Shard(found.column("vec_id").to_numpy(), _matrix(found.column("terms"), width))
-            for query, q in zip(wanted.column("vec_id").to_pylist(), _matrix(wanted.column("terms"), width)):
-                ids, scores = shard.top(query, q, k)
-                out.append((np.full(len(ids), query), ids, scores))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "vec_id", "score"), columns)})
-
-    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(score, HITS)
+    spark = vectors.sparkSession
+    shards = staged(_packed(vectors, shard_rows, postings), "products-shards")
+    buckets = max(1, spark.sparkContext.defaultParallelism, -(-shards.count() * shard_rows // bucket_rows))
+    asked = _packed(queries.groupBy("vec_id").agg(F.min("terms").alias("terms")), block_rows)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for here, is_query, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                content = pickle.loads(body.as_py())
+                if here != bucket:
+                    bucket, held = here, []
+                if not is_query:
+                    held.append(Shard(**content))
+                    continue
+                out: list[tuple[np.ndarray, ...]] = []
+                for query, q in zip(content["ids"].tolist(), content["columns"].T):
+                    ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+                    for shard in held:
+                        found = shard.top(query, q, k, int(scores[-1]) if len(scores) == k else None)
+                        ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
+                        best = np.lexsort((ids, -scores))[:k]
+                        ids, scores = ids[best], scores[best]
+                    out.append((np.full(len(ids), query), ids, scores))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)],
+                                                 names=["query_id", "vec_id", "score"])
+
+    sides = shards.select(F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(False).alias("is_query"),
+                          "number", "body").unionByName(asked.select(
+                              F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(True).alias("is_query"),
+                              "number", "body"))
+    hits = sides.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "is_query", "number").mapInArrow(work, HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
