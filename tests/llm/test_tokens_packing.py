@@ -108,3 +108,35 @@ def test_sum_of_squares_takes_the_least_increase(window):
         chosen = state.level_for(int(size))
         assert squares[chosen] == min(squares.values())
         state.place((n, 0, b"\0" * 4 * int(size), 1))
+
+
+def test_open_windows_are_closed_with_cut_pieces():
+    rng, state, window = np.random.default_rng(4), SumOfSquares(256), 256
+    placed = closed = 0
+    for n, size in enumerate(rng.integers(1, 256, 1000).tolist()):
+        placed += size
+        closed += window if state.place((n, 0, n.to_bytes(4, "little") * size, size)) else 0
+    still = {tuple(p[0] for p in pieces): sum(len(p[2]) // 4 for p in pieces) for level in state.open for pieces in level}
+    done = [(pieces, sum(len(p[2]) // 4 for p in pieces)) for pieces in state.remainder()]
+    whole = [d for d in done if d[1] == window]
+    rest = [size for _, size in done if size < window]
+    assert closed + sum(size for _, size in done) == placed
+    assert sum(rest) < window and rest == sorted({size for size in rest}, reverse=True) and all(r & (r - 1) == 0 for r in rest)
+    kept = 0
+    for pieces, _ in whole:
+        names = tuple(p[0] for p in pieces)
+        prefix = max((names[:k] for k in range(1, len(names) + 1) if names[:k] in still), key=len)
+        kept += still[prefix]
+        assert sum(len(p[2]) // 4 for p in pieces[:len(prefix)]) == still[prefix]  # as the rule left it
+    assert closed + kept >= 0.9 * placed
+    starts = {}
+    for pieces, _ in done:
+        for doc, start, ids, total in pieces:
+            starts.setdefault(doc, []).append((start, len(ids) // 4, total))
+            assert ids == doc.to_bytes(4, "little") * (len(ids) // 4)
+    for parts in starts.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total

@@ -3,15 +3,17 @@
 Pieces arrive online.  A level array counts the open windows at each fill
 level; a piece goes to the level (or a new window) for which the sum of the
 squared counts grows least.  A document longer than a window first gives whole
-windows.  What is still open when a task's documents end is laid end to end
-and cut anew, and the last part is cut into sequences whose lengths are powers
-of two, which need no padding.
+windows.  When a task's documents end, the windows still open stay as the rule
+filled them, fullest first, and are closed with pieces cut to fit from the
+emptiest; less than one window is left over, which is cut into sequences whose
+lengths are powers of two, so nothing needs padding.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 Piece = tuple[object, int, bytes, int]  # doc_id, start, packed ids, tokens of the document
 
 
+def tokens(pieces: Iterable[Piece]) -> int:
+    return sum(len(p[2]) // 4 for p in pieces)
+
+
 class SumOfSquares:
     """Open windows by fill level."""
 
@@ -64,22 +70,33 @@ class SumOfSquares:
         return None
 
     def remainder(self) -> Iterator[list[Piece]]:
-        """The open windows laid end to end, cut to whole windows and powers of two."""
-        flow = [p for level in reversed(self.open) for pieces in level for p in pieces]
-        left = sum(len(p[2]) // 4 for p in flow)
-        room, current = 0, []
-        for doc, start, ids, total in flow:
-            while ids:
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    left -= room
+        """The open windows, the fullest closed with pieces of the emptiest; the rest as powers of two."""
+        held = deque(pieces for level in reversed(self.open) for pieces in level)
+        spare: deque[Piece] = deque()
+
+        def filled(pieces: list[Piece], room: int) -> int:
+            """Moves spare tokens to ``pieces``; returns the room that stays."""
+            while room and (spare or held):
+                if not spare:
+                    spare.extend(held.pop())
+                doc, start, ids, total = spare.popleft()
                 part, ids = ids[:4 * room], ids[4 * room:]
-                current.append((doc, start, part, total))
-                start += len(part) // 4
+                pieces.append((doc, start, part, total))
                 room -= len(part) // 4
-                if not room:
-                    yield current
-                    current = []
+                if ids:
+                    spare.appendleft((doc, start + len(part) // 4, ids, total))
+            return room
+
+        while held:
+            pieces = held.popleft()
+            if filled(pieces, self.window - tokens(pieces)):
+                spare.extend(pieces)
+            else:
+                yield pieces
+        while left := tokens(spare):
+            pieces = []
+            filled(pieces, 1 << (left.bit_length() - 1))
+            yield pieces
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 4096) -> DataFrame:
