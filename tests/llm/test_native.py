@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalforms.llm import queries
-from vitalforms.llm.mixing import mix_documents, mixture
+from vitalforms.llm.common import n_words
+from vitalforms.llm.mixing import mix_documents, mixture, sums_before
 from vitalforms.llm.personal_data import BASE, GENERATORS, candidates, redact, spans_by_document
 from vitalforms.llm.quality import quality
 from vitalforms.llm.sharding import histogram_shards, write_shards
@@ -143,6 +145,31 @@ def test_mixture(docs_of):
     assert mixture(docs_of([])).count() == 0 and mixture(docs_of([("", "en", "a")])).first().taken == 0
 
 
+def test_mixture_with_hot_groups(spark):
+    """A source of 50,000 texts without words, 20,000 rows without an id and one id on 5,000 rows."""
+    n = F.col("id")
+    docs = spark.range(80_000).select(
+        F.when(n < 20_000, None).when(n < 25_000, 1).otherwise(n).alias("doc_id"),
+        F.when(n % 8 < 5, "empty").when(n % 8 == 5, "a").otherwise("b").alias("source"),
+        F.when(n % 16 < 5, None).when(n % 8 < 5, "").otherwise(F.repeat(F.lit("w "), (n % 7 + 1).cast("int"))).alias("text"),
+        F.lit(1).alias("range"), F.lit(2).alias("span"), F.lit(3).alias("_block"))
+    rows = mixture(docs).groupBy("source_size", "target").agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("copies").alias("most")).collect()
+    total = docs.where("text <> ''").agg(F.sum(n_words())).first()[0]
+    assert sum(r.n for r in rows) == 80_000 and 0 <= 1.5 * total - sum(r.taken for r in rows) <= 7
+    assert [(r.n, r.taken) for r in rows if r.source_size == 0] == [(50_000, 0)]
+    assert all(abs(r.taken - r.target) <= 21 and r.most <= 2 for r in rows)
+
+
+def test_sums_before_equal_a_single_window(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b"]), p, rng.randrange(50)) for p in rng.sample(range(10_000), 700)]
+    got = sums_before(spark.createDataFrame(rows, "source string, place long, sum long"), ["source"], "place",
+                      F.shiftright("place", 8)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        ((s, p, sum(x for t, q, x in rows if t == s and q < p)) for s, p, _ in rows), key=repr)
+
+
 def repeats(words):
     windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
     many = Counter(windows)
